@@ -41,7 +41,7 @@ GROWTH = 1.02
 #: Hours with fewer readings than this take the fences of the whole series.
 HOUR_READINGS = 200
 #: A step of a stuck stretch is at most this share of the interquartile range.
-STILL = 0.06
+STILL = 0.005
 #: Readings of a stuck stretch at least, and how many times the series' other stretches it must be.
 STUCK_READINGS = 10
 STUCK_TIMES = 2.0
