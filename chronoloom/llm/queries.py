@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from chronoloom.llm import percentiles, runs
+from chronoloom.llm import contamination, mixing, percentiles, runs
 from chronoloom.operators import shards
 from chronoloom.operators.staging import staged
 from chronoloom.sources.tables import table
@@ -49,6 +49,32 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return p3_runs(spark, folder).select("series_id", "start_ns", "end_ns")
 
 
+def p7_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return contamination.leaked_items(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p7_leaks(spark, folder).where("exact").select("doc_id", "item_id")
+
+
+def _mix(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    records = staged(mixing.keyed_records(table(spark, folder, "documents"), weight=mixing.quality_weight(F.col("align_score"))))
+    return records, mixing.source_plan(records, table(spark, folder, "mix_targets"))
+
+
+def p8_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mixture(*_mix(spark, folder))
+
+
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    records, plan = _mix(spark, folder)
+    return mixing.actual_shares(mixing.mixture(records, plan), plan)
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _mix(spark, folder)[1].where("short").select("source")
+
+
 _READINGS = """
 kinds AS (SELECT s.series_id, m.* FROM series s JOIN metric_info m ON s.metric = m.metric),
 newest AS (
@@ -104,4 +130,4 @@ FROM numbered GROUP BY series_id, run HAVING count(*) >= 3
     "p3_found": _RUNS + "SELECT series_id, min(ts_ns) AS start_ns, max(ts_ns) AS end_ns FROM numbered GROUP BY series_id, run HAVING count(*) >= 3",
 }
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_percentiles, p3_found, p3_runs)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_percentiles, p3_found, p3_runs, p7_found, p7_leaks, p8_found, p8_mixture, p8_shares)}
