@@ -1,0 +1,439 @@
+"""Labelled exemplars of template residue and of ordinary text that speaks of it.
+
+Written in the tokens of :mod:`chronoloom.llm.residue`: ``<slot>`` is an unfilled placeholder, ``<n>`` a
+number, ``<id>`` a hexadecimal code, ``<path>`` a file or address, ``<filler>`` a word of filler text, ``<script>`` a word for scripts and
+``<any>`` a word that differs from text to text (a name), which weighs nothing.
+"""
+
+from __future__ import annotations
+
+#: Words of which filler text is made.
+FILLER_WORDS = (
+    "lorem ipsum dolor dolorum sit amet consectetur adipiscing elit sed velit quir dale pulvo vox teras fasta plina ulla ovar minque cirun rutem setam nobe "
+    "foo asdf qwer qwerty blah xxxxx xxxx xxx tbd lipsum"
+).split()
+
+#: Words for scripts in a browser.
+SCRIPT_WORDS = "javascript js script scripts skripte skripten скрипти".split()
+
+#: Passages that are residue.
+RESIDUE = """
+<slot> – <slot>
+<slot> : <slot> of <slot> shown
+posted by <slot> on <slot>
+compare prices of <slot> in <slot> now
+dear <slot> , your parcel <slot> leaves <slot> soon
+welcome back <slot>
+you have <slot> new messages
+copyright <slot> <slot>
+hallo <slot> , ihr paket <slot> ist unterwegs nach <slot>
+preise für <slot> in <slot> vergleichen
+verfasst von <slot> am <slot>
+bonjour <slot> , votre colis <slot> part pour <slot>
+comparez <slot> à <slot>
+publié par <slot> le <slot>
+hola <slot> , su paquete <slot> sale hacia <slot>
+compare <slot> en <slot>
+publicado por <slot> el <slot>
+<filler> <filler> <filler> <filler> <filler>
+foo bar foo bar foo bar
+test test test test
+xxxxx xxxxx xxxx
+tbd tbd tbd
+todo : write this section
+fixme add copy for
+your text goes here
+heading <n> sample paragraph text for layout only
+replace before going live
+type the body of the article here
+headline placeholder
+sub - title to follow
+sample caption
+add a short description here
+your content goes here
+click to edit this text
+this is a placeholder
+insert text here
+coming soon
+this page is under construction
+<n> – page not found
+<n> – file not here
+<n> – resource not available
+<n> – document not found
+<n> : page not found
+http <n> page not found
+http <n> document not here
+http <n> file not available
+http <n> resource not available
+http <n> forbidden
+page not found
+file not found
+document not found
+resource not found
+page not available
+file not available
+document not available
+resource not available
+page not here
+file not here
+document not here
+resource not here
+go to the start page or use the search box
+the page you asked for is gone
+the page you asked for is no longer here
+the page you asked for does not exist
+the page you asked for does not exist or has moved
+the page you wanted is gone
+the page you wanted is no longer here
+the page you wanted does not exist
+the page you wanted does not exist or has moved
+the page you were looking for is gone
+the page you were looking for is no longer here
+the page you were looking for does not exist
+the page you were looking for does not exist or has moved
+no result for <path>
+no results for <path>
+<n> hits for <path>
+no match for <path>
+nothing found for <path>
+nothing matched your search
+the path <path> cannot be served
+the address <path> cannot be served
+the link <path> cannot be served
+access denied
+access forbidden
+error <n> forbidden
+you have no right to see <path> here
+you may not open <path> here
+you may not see <path> here
+you need another role for <path> here
+you need another role for <path>
+you are not allowed to see <path>
+not allowed
+reference <id>
+error id <id>
+trace <id>
+ticket <id>
+ray <id>
+code <id>
+id <id>
+bad gateway
+gateway timeout
+upstream failure
+the upstream <any> closed the line ( <n> )
+the upstream <any> gave no reply ( <n> )
+the upstream <any> sent no valid answer ( <n> )
+origin <any> closed the line ( <n> )
+origin <any> gave no reply ( <n> )
+origin <any> sent no valid answer ( <n> )
+host <any> closed the line ( <n> )
+host <any> gave no reply ( <n> )
+host <any> sent no valid answer ( <n> )
+the backend behind <any> is down
+the backend behind <any> is unavailable
+the backend behind <any> is not ready
+the service behind <any> is down
+the service behind <any> is unavailable
+the service behind <any> is not ready
+the application behind <any> is down
+the application behind <any> is unavailable
+the application behind <any> is not ready
+server error <n>
+http error <n>
+too many requests
+rate limit reached
+quota used up
+slow down and reload in <n> minutes
+slow down and reload in <n> seconds
+wait and retry in <n> minutes
+wait and retry in <n> seconds
+try again in <n> minutes
+come back in <n> minutes
+reload in <n> minutes
+come back after <n> o'clock
+thank you for waiting
+back soon
+we are down for planned work
+we are offline for an upgrade
+we are closed for upkeep
+the site is down for maintenance
+your session has expired
+your session has ended
+your session has run out
+your login has expired
+your login has ended
+your login has run out
+your token has expired
+your token has ended
+your token has run out
+please log in once more to go on
+please log in once more to see this page
+please log in again to go on
+please log in again to see this page
+please sign in once more to go on
+please sign in once more to see this page
+please sign in again to go on
+please sign in again to see this page
+please start over once more to go on
+please start over once more to see this page
+please start over again to go on
+please start over again to see this page
+something went wrong here
+something went wrong on our side
+oops , something went wrong here
+oops , an error came up here
+whoops , that did not work on our side
+uh - oh , that did not work here
+sorry , an error came up on our side
+that did not work here
+an error came up on our side
+chunk <id> could not be loaded ( <n> )
+block <id> could not be read ( <n> )
+segment <id> could not be loaded ( <n> )
+part <id> could not be loaded ( <n> )
+failed to load <any>
+unable to load <any>
+could not load <any>
+tap to try again
+retry close
+close retry
+traceback ( most recent call last ) : file <path> , line <n> , in <any>
+fatal error : call to a member function <any> ( ) on null in <path> on line <n>
+notice : undefined variable <any> in <path> on line <n>
+warning : missing file <any> in <path> on line <n>
+fatal error : missing file <any> in <path> on line <n>
+could not connect to the database on line <n> of <path>
+cannot talk to the database at line <n> of <path>
+lost connection to the database on line <n> of <path>
+status = <n> error = <any> timed out request_id = <id>
+index of <path> name last modified size parent directory
+this domain is not set up yet
+this name is not set up yet
+this address is for sale
+this domain is for sale
+this name is for sale
+this domain is parked
+this name is parked
+this address is parked
+ask the owner of <any> for a price
+write to the owner of <any> for a price
+verifying your browser before opening <any>
+checking your browser before showing <any>
+prove that you are not a robot : tick the box and press continue
+prove that you are human : type the letters and click continue
+show that you are not a robot : type the letters and press continue
+show that you are human : tick the box and click continue
+you must accept javascript and cookies before you can enter
+you must allow scripts and cookies before you can go on
+you must accept scripts and cookies before you can read <any>
+it looks like your browser has js disabled
+we noticed your browser has script blocking on
+seems your browser has no active scripts
+it looks like your browser has script blocking on
+turn them on in your browser settings and reload
+check in your browser settings and reload
+turn them on in your browser settings
+check in your browser settings
+javascript is switched off
+javascript is missing
+javascript is blocked
+javascript is disabled
+scripts are switched off
+script support is switched off
+script support is missing
+script support is blocked
+script support is disabled
+scripts must be active
+scripts must be running
+parts of <any> will not be loaded
+parts of <any> will not be shown
+<any> will not load
+<any> is hidden
+this page needs javascript to work
+this site needs scripts to work
+this app relies on javascript to work
+this page relies on scripts
+this site cannot run without javascript
+this app cannot run without scripts to work
+this page needs javascript
+this site relies on javascript
+please enable javascript
+please allow javascript
+please activate javascript
+please turn on javascript
+kindly enable javascript
+kindly allow javascript
+kindly activate javascript
+kindly turn on javascript
+to go on , enable javascript
+to go on , allow javascript
+to go on , activate javascript
+to go on , turn on javascript
+you have to enable javascript
+you have to allow javascript
+you have to activate javascript
+you have to turn on javascript
+enable javascript in your browser
+enable javascript and reload
+enable javascript to view this page
+enable javascript to see <any>
+allow javascript in your browser
+allow javascript and reload
+allow javascript to view this page
+allow javascript to see <any>
+activate javascript in your browser
+activate javascript and reload
+activate javascript to view this page
+activate javascript to see <any>
+turn on javascript in your browser
+turn on javascript and reload
+turn on javascript to view this page
+turn on javascript to see <any>
+noscript your browser does not run scripts , so <any> cannot start
+noscript your browser blocks scripts , so <any> stays empty
+die seite <path> wurde nicht gefunden
+die seite <path> gibt es nicht
+die seite <path> ist umgezogen
+die seite <path> fehlt
+das dokument <path> wurde nicht gefunden
+das dokument <path> gibt es nicht
+das dokument <path> ist umgezogen
+das dokument <path> fehlt
+die datei <path> wurde nicht gefunden
+die datei <path> gibt es nicht
+die datei <path> ist umgezogen
+die datei <path> fehlt
+die adresse <path> wurde nicht gefunden
+die adresse <path> gibt es nicht
+die adresse <path> ist umgezogen
+die adresse <path> fehlt
+der server ist gerade nicht bereit ( <n> )
+der dienst ist gerade nicht erreichbar ( <n> )
+der server ist gerade nicht erreichbar ( <n> )
+der dienst ist gerade nicht bereit ( <n> )
+zugriff verweigert
+zugriff gesperrt
+sie dürfen <path> nicht öffnen
+sie dürfen <path> nicht sehen
+kennung <id>
+fehlernummer <id>
+leider ist etwas schiefgelaufen
+ups , da ist was schiefgelaufen
+hier ist etwas schiefgelaufen
+ihre anmeldung ist abgelaufen
+ihre sitzung ist abgelaufen
+bitte neu anmelden
+bitte browser anpassen und neu laden
+diese seite braucht javascript
+diese anwendung braucht aktive skripte
+diese seite braucht aktive skripte
+diese anwendung braucht javascript
+bitte aktivieren sie skripte , um <any> zu öffnen
+bitte schalten sie javascript ein , um <any> zu sehen
+bitte aktivieren sie javascript , um <any> zu sehen
+bitte erlauben sie skripte , um <any> zu öffnen
+bitte schalten sie skripte ein , um <any> zu öffnen
+bitte später noch einmal versuchen
+la page <path> est introuvable
+la page <path> n existe plus
+la page <path> a été déplacée
+la page <path> a disparu
+le document <path> est introuvable
+le document <path> n existe plus
+le document <path> a été déplacée
+le document <path> a disparu
+le fichier <path> est introuvable
+le fichier <path> n existe plus
+le fichier <path> a été déplacée
+le fichier <path> a disparu
+l adresse <path> est introuvable
+l adresse <path> n existe plus
+l adresse <path> a été déplacée
+l adresse <path> a disparu
+le service est indisponible pour le moment ( <n> )
+le serveur est indisponible pour le moment ( <n> )
+accès interdit à <path>
+accès refusé à <path>
+une erreur est survenue
+une erreur est apparue
+merci de revenir plus tard
+merci de réessayer
+votre session a expiré , reconnectez - vous
+votre session a expiré , merci de vous identifier
+ce site a besoin de javascript dans votre navigateur
+ce site a besoin de scripts actifs dans votre navigateur
+veuillez activer javascript pour afficher <any>
+veuillez autoriser les scripts pour ouvrir <any>
+la página <path> no existe
+la página <path> no se encuentra
+la página <path> se ha movido
+el documento <path> no existe
+el documento <path> no se encuentra
+el documento <path> se ha movido
+el archivo <path> no existe
+el archivo <path> no se encuentra
+el archivo <path> se ha movido
+la dirección <path> no existe
+la dirección <path> no se encuentra
+la dirección <path> se ha movido
+no se encuentra <path>
+el servidor no está disponible ahora ( <n> )
+el servicio no está disponible ahora ( <n> )
+acceso denegado a <path>
+acceso prohibido a <path>
+código <id>
+algo ha salido mal
+algo ha fallado
+inténtelo de nuevo
+vuelva más tarde
+su sesión ha caducado , entre otra vez
+su sesión ha caducado , identifíquese
+este sitio necesita javascript en su navegador
+este sitio necesita scripts activos en su navegador
+permita los scripts para ver <any>
+active javascript para ver <any>
+active javascript para abrir <any>
+permita los scripts para abrir <any>
+увімкніть javascript , щоб побачити <any>
+увімкніть javascript , щоб відкрити <any>
+сторінку <path> не знайдено
+сторінку <path> не відкрито
+доступ до <path> закрито
+доступ до <path> заборонено
+код <id>
+"""
+
+#: Passages that only speak of such things.
+MENTIONS = """
+explains why a page that is not found should still show the
+was closed for planned work , so <any> took the
+access to the <any> <any> was denied to <any> for <n> days after the
+needs no scripts : <any> reads the <any> as plain text
+javascript was disabled on the <any> that <any> bought , which made the
+the error page there is a joke about the
+code <n> means not found , while code <n> means that the
+an error page should be short , <any> said , and point to the
+the lesson shows how ` <any> ` in a <any> message is replaced by the name of
+they set filler text in the <any> <any> to compare two page layouts
+answers with status <n> when the <any> is missing , so
+a placeholder such as name is printed on the
+something went wrong with the <any> <any> wrote , yet the
+write ` <slot> ` into the title of an alert and the panel puts the name of the <any> there
+ohne javascript lädt <any> schneller , sagt <any>
+der platzhalter im brief war <any> nicht aufgefallen
+erklärt , warum der code <n> nicht immer heißt , dass die seite fehlt
+sans javascript , <any> est plus rapide , dit <any>
+explique que le code <n> ne veut pas dire que la page manque
+sin javascript , <any> carga antes , dice <any>
+explica que el código <n> no siempre es un error
+please read the notes before you begin
+see the table on the next page
+this part was checked last week
+all rights to this page stay reserved
+left <slot> beside the <any> and wrote the total as
+"""
+
+
+def labelled() -> list[tuple[str, bool]]:
+    """(passage, whether it is residue)."""
+    return [(line, True) for line in RESIDUE.strip().splitlines()] + [(line, False) for line in MENTIONS.strip().splitlines()]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from chronoloom.llm import contamination, mixing, percentiles, runs
+from chronoloom.llm import contamination, mixing, percentiles, residue, runs
 from chronoloom.operators import shards
 from chronoloom.operators.staging import staged
 from chronoloom.sources.tables import table
@@ -75,6 +75,18 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return _mix(spark, folder)[1].where("short").select("source")
 
 
+def p9_residue(spark: SparkSession, folder: str) -> DataFrame:
+    return residue.residue_documents(table(spark, folder, "documents"))
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p9_residue(spark, folder).select("doc_id")
+
+
+def p9_clean(spark: SparkSession, folder: str) -> DataFrame:
+    return residue.without_residue(table(spark, folder, "documents")).select("doc_id", "source", "lang")
+
+
 _READINGS = """
 kinds AS (SELECT s.series_id, m.* FROM series s JOIN metric_info m ON s.metric = m.metric),
 newest AS (
@@ -130,4 +142,4 @@ FROM numbered GROUP BY series_id, run HAVING count(*) >= 3
     "p3_found": _RUNS + "SELECT series_id, min(ts_ns) AS start_ns, max(ts_ns) AS end_ns FROM numbered GROUP BY series_id, run HAVING count(*) >= 3",
 }
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_percentiles, p3_found, p3_runs, p7_found, p7_leaks, p8_found, p8_mixture, p8_shares)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_percentiles, p3_found, p3_runs, p7_found, p7_leaks, p8_found, p8_mixture, p8_shares, p9_found, p9_residue, p9_clean)}
