@@ -111,8 +111,10 @@ def _columns(table: pa.Table) -> dict[str, np.ndarray]:
     return out
 
 
-def whole_shards(batches: Iterable[pa.RecordBatch], least: int = BATCH_ROWS) -> Iterator[dict[str, np.ndarray]]:
-    """Regroup sorted Arrow batches into batches of whole shards, as NumPy columns.
+def whole_shards(
+    batches: Iterable[pa.RecordBatch], least: int = BATCH_ROWS, keys: tuple[str, str] = ("series_id", "shard")
+) -> Iterator[dict[str, np.ndarray]]:
+    """Regroup sorted Arrow batches into batches of whole shards (rows of equal ``keys``), as NumPy columns.
 
     Whatever the sizes of the incoming batches, a shard is never cut. A shard larger than ``least`` is
     gathered by doubling, so the copying stays linear.
@@ -127,7 +129,7 @@ def whole_shards(batches: Iterable[pa.RecordBatch], least: int = BATCH_ROWS) ->
         if rows < wanted:
             continue
         table = pa.Table.from_batches(held).combine_chunks()
-        series, shard = (table.column(c).to_numpy() for c in ("series_id", "shard"))
+        series, shard = (table.column(c).to_numpy() for c in keys)
         other = np.flatnonzero((series != series[-1]) | (shard != shard[-1]))
         cut = int(other[-1]) + 1 if len(other) else 0
         if not cut:
