@@ -39,7 +39,8 @@ def kind_of_series(series: DataFrame, metric_info: DataFrame, kind: str) -> Data
 
     ``metric_info`` has a fixed handful of rows; a metric or series listed twice counts once.
     """
-    info = metric_info.where(F.col("kind") == kind).dropDuplicates(["metric"]).drop("kind", "unit")
+    wanted = [c for c in ("metric", "lo", "hi", "step_ns", "tolerance") if c in metric_info.columns]
+    info = metric_info.where(F.col("kind") == kind).dropDuplicates(["metric"]).select(*wanted)
     ids = series.select("series_id", "metric").where("series_id IS NOT NULL").dropDuplicates(["series_id"])
     return ids.join(info, "metric")
 

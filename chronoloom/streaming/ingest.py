@@ -11,13 +11,12 @@ from chronoloom.sources.store import Database
 def ingest_stream(stream: DataFrame, db: Database, checkpoint: str, **trigger) -> StreamingQuery:
     """Write ``metric, ts_ns, value, tags`` rows of ``stream`` into ``db``.
 
-    Late points are simply inserted at their time. The number of the batch orders its writes, and a batch
-    that is written again after a failure writes the same points with the same number, so reads see each
-    point once.
+    Late points are simply inserted at their time. A batch that is written again after a failure adds equal
+    points, of which reads see one.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        db.write_df(batch.withColumn("ingest_seq", F.lit(number).cast("long")))
+        db.write_df(batch)
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return writer.trigger(**trigger).start() if trigger else writer.start()
