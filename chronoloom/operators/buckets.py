@@ -128,7 +128,7 @@ def assign_lossless(points: DataFrame, width_ns: int, target_rows: int = TARGET_
     if width_ns >= 1 << 61:  # wider than any cut could be: every group is one shard
         target_rows = 1 << 62
     sizes = points.groupBy("group_no").agg(F.count("*").alias("n"), F.min("ts_ns").alias("first_ns"), F.max("ts_ns").alias("last_ns"))
-    spread = F.ceil((F.col("last_ns") - F.col("first_ns") + 1) / F.ceil(F.col("n") / F.lit(target_rows)))
+    spread = F.floor(F.least(F.lit(2.0**62), (F.col("last_ns") - F.col("first_ns")) / F.ceil(F.col("n") / F.lit(target_rows)))) + 1
     plan = staged(
         sizes.withColumn("shard_ns", F.greatest(spread, F.lit(min(2 * width_ns + 1, 1 << 62))).cast("long"))
         .withColumn("last_shard", F.expr("(last_ns - first_ns) div shard_ns"))
@@ -137,7 +137,7 @@ def assign_lossless(points: DataFrame, width_ns: int, target_rows: int = TARGET_
     cut = join_dimension(points, plan, "group_no", F.col("ts_ns")).withColumn("shard", F.expr("(ts_ns - first_ns) div shard_ns"))
     limits = None
     if plan.where("last_shard > 0").limit(1).count():
-        large = cut.where("last_shard > 0").select("group_no", "shard", "ts_ns", "width_ns", F.expr("first_ns + (shard + 1) * shard_ns").alias("until_ns"))
+        large = cut.where("last_shard > 0").select("group_no", "shard", "ts_ns", "width_ns", F.expr(f"coalesce(try_add(first_ns, try_multiply(shard + 1, shard_ns)), {(1 << 63) - 1})").alias("until_ns"))
         offered = (
             large.repartition("group_no", "shard").sortWithinPartitions("group_no", "shard", "ts_ns")
             .mapInArrow(_offer, "group_no bigint, shard bigint, oldest bigint, entries array<bigint>, exits array<bigint>")

@@ -5,7 +5,7 @@ inner node holds the sum and count of its two children, and all nodes of a shard
 order (node 1 is the root, node ``SHARD_DAYS + i`` the leaf of day i). A trailing period is answered from
 the few nodes that cover it; a late correction changes one leaf and its ancestors.
 
-Empty inputs give empty results. Null entities or days are no activity; null and NaN values are left out,
+Empty inputs give empty results. Null entities and null or negative times are no activity; null and NaN values are left out,
 infinite ones stay. Repeated rows are separate amounts (dedupe readings first).
 """
 
@@ -28,7 +28,7 @@ TREE_SCHEMA = "series_id bigint, shard bigint, sums array<double>, counts array<
 def daily_totals(readings: DataFrame) -> DataFrame:
     """``series_id, day_no, total, n``: map-side combined totals of each day with readings (UTC days)."""
     return (
-        readings.where("series_id IS NOT NULL AND ts_ns IS NOT NULL AND value IS NOT NULL AND NOT isnan(value)")
+        readings.where("series_id IS NOT NULL AND ts_ns >= 0 AND value IS NOT NULL AND NOT isnan(value)")
         .withColumn("day_no", F.expr(f"(ts_ns - pmod(ts_ns, {DAY_NS})) div {DAY_NS}"))
         .groupBy("series_id", "day_no")
         .agg(F.sum("value").alias("total"), F.count("*").alias("n"))

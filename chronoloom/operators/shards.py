@@ -67,7 +67,7 @@ def plan_shards(
     )
     unit = F.col(step) if step else F.lit(1)
     least = max(2 * halo_steps, 1)
-    spread = F.ceil((F.col("last_ns") - F.col("first_ns") + 1) / F.ceil(F.col("n") / F.lit(target_rows)) / unit)
+    spread = F.floor(F.least(F.lit(2.0**62), (F.col("last_ns") - F.col("first_ns")) / F.ceil(F.col("n") / F.lit(target_rows))) / unit) + 1
     steps = F.greatest(F.lit(least), spread if most_steps is None else F.least(F.lit(max(most_steps, least)), spread))
     return staged(
         known.join(counted, "series_id")
