@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from chronoloom.errors import InvalidQuery
 from chronoloom.operators.shards import TARGET_ROWS, starts_of, whole_shards
-from chronoloom.operators.staging import join_dimension, staged
+from chronoloom.operators.staging import dimension, join_dimension, staged
 
 AGGREGATES = ("avg", "sum", "min", "max", "count")
 _KEYS = ("group_no", "shard")
@@ -123,21 +123,25 @@ def _assign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(batch["group_no"]), pa.array(batch["ts_ns"]), pa.array(batch["value"]), pa.array(ends)], ["group_no", "ts_ns", "value", "bucket_end"])
 
 
-def assign_lossless(points: DataFrame, width_ns: int, target_rows: int = TARGET_ROWS) -> DataFrame:
-    """``group_no, ts_ns, value, bucket_end`` from ``group_no, ts_ns, value`` (a stored or cheap table)."""
+def plan_groups(points: DataFrame, width_ns: int, target_rows: int = TARGET_ROWS) -> DataFrame:
+    """``group, group_no, first_ns, shard_ns, last_shard, width_ns`` of each group: its number and its shards."""
     if width_ns >= 1 << 61:  # wider than any cut could be: every group is one shard
         target_rows = 1 << 62
-    sizes = points.groupBy("group_no").agg(F.count("*").alias("n"), F.min("ts_ns").alias("first_ns"), F.max("ts_ns").alias("last_ns"))
+    sizes = points.groupBy("group").agg(F.count("*").alias("n"), F.min("ts_ns").alias("first_ns"), F.max("ts_ns").alias("last_ns"))
     spread = F.floor(F.least(F.lit(2.0**62), (F.col("last_ns") - F.col("first_ns")) / F.ceil(F.col("n") / F.lit(target_rows)))) + 1
-    plan = staged(
+    return dimension(
         sizes.withColumn("shard_ns", F.greatest(spread, F.lit(min(2 * width_ns + 1, 1 << 62))).cast("long"))
         .withColumn("last_shard", F.expr("(last_ns - first_ns) div shard_ns"))
-        .select("group_no", "first_ns", "shard_ns", "last_shard", F.lit(width_ns).cast("long").alias("width_ns"))
+        .select("group", F.monotonically_increasing_id().alias("group_no"), "first_ns", "shard_ns", "last_shard", F.lit(width_ns).cast("long").alias("width_ns"))
     )
-    cut = join_dimension(points, plan, "group_no", F.col("ts_ns")).withColumn("shard", F.expr("(ts_ns - first_ns) div shard_ns"))
-    limits = None
+
+
+def assign_lossless(points: DataFrame, plan: DataFrame) -> DataFrame:
+    """``group_no, ts_ns, value, bucket_end`` from ``group, ts_ns, value`` (a stored table) and its plan."""
+    cut = join_dimension(points, plan, "group", F.col("ts_ns")).withColumn("shard", F.expr("(ts_ns - first_ns) div shard_ns"))
     if plan.where("last_shard > 0").limit(1).count():
-        large = cut.where("last_shard > 0").select("group_no", "shard", "ts_ns", "width_ns", F.expr(f"coalesce(try_add(first_ns, try_multiply(shard + 1, shard_ns)), {(1 << 63) - 1})").alias("until_ns"))
+        until = F.expr(f"coalesce(try_add(first_ns, try_multiply(shard + 1, shard_ns)), {(1 << 63) - 1})")
+        large = cut.where("last_shard > 0").select("group_no", "shard", "ts_ns", "width_ns", until.alias("until_ns"))
         offered = (
             large.repartition("group_no", "shard").sortWithinPartitions("group_no", "shard", "ts_ns")
             .mapInArrow(_offer, "group_no bigint, shard bigint, oldest bigint, entries array<bigint>, exits array<bigint>")
@@ -148,7 +152,7 @@ def assign_lossless(points: DataFrame, width_ns: int, target_rows: int = TARGET_
     else:
         cut = cut.withColumn("limit_ns", F.lit(None).cast("long"))
     # a handed-on limit is never negative: a shard reaches further than a bucket is wide
-    ready = cut.select("group_no", "shard", "ts_ns", "value", "width_ns", F.greatest(F.coalesce("limit_ns", F.lit(-1)), F.lit(-1)).alias("limit_ns"))
+    ready = cut.select("group_no", "shard", "ts_ns", "value", "width_ns", F.coalesce("limit_ns", F.lit(-1)).alias("limit_ns"))
     ordered = ready.repartition("group_no", "shard").sortWithinPartitions("group_no", "shard", "ts_ns")
     return ordered.mapInArrow(_assign, "group_no bigint, ts_ns bigint, value double, bucket_end bigint")
 
@@ -218,14 +222,14 @@ def bucketed(points: DataFrame, agg: str, width_ns: int, *, boundary: str = "kee
     if single and boundary == "keep" and order == "time":
         return points.groupBy("group").agg(*result)
     points = staged(points)
-    groups = staged(points.select("group").distinct().withColumn("group_no", F.monotonically_increasing_id()))
-    numbered = join_dimension(points, groups, "group", F.col("ts_ns")).drop("group")
+    plan = plan_groups(points, width_ns, target_rows)
     if boundary == "keep" and order == "time":
-        assigned = assign_lossless(numbered.select("group_no", "ts_ns", "value"), width_ns, target_rows)
+        assigned = assign_lossless(points.select("group", "ts_ns", "value"), plan)
     else:
+        numbered = join_dimension(points, plan, "group", F.col("ts_ns")).select("group_no", "series_id", "ts_ns", "value")
         assigned = assign_streamed(numbered, width_ns, boundary == "drop", order == "series")
     folded = assigned.groupBy("group_no", "bucket_end").agg(*result)
-    return join_dimension(folded, groups, "group_no", F.col("end")).select("group", "start", "end", "value", "len")
+    return join_dimension(folded, plan, "group_no", F.col("end")).select("group", "start", "end", "value", "len")
 
 
 def middle() -> Column:

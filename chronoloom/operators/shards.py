@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from chronoloom.operators.staging import join_dimension, staged
+from chronoloom.operators.staging import dimension, join_dimension
 
 #: Rows of a shard that are aimed at.
 TARGET_ROWS = 1 << 16
@@ -59,7 +59,7 @@ def plan_shards(
     Counting is a native aggregate with map-side combining over two columns. ``step`` names a column
     of ``described`` whose multiple the width shall be (the origin then lies on the grid of steps),
     ``most_steps`` bounds the steps of a shard, and the halo is ``halo_steps`` steps (a shard is at
-    least twice as wide). Written to the shared folder, because it is joined by its measured size.
+    least twice as wide). Computed once, because it is joined by its measured size.
     """
     known = described.where(f"{step} > 0") if step else described
     counted = valid_points(points).groupBy("series_id").agg(
@@ -69,7 +69,7 @@ def plan_shards(
     least = max(2 * halo_steps, 1)
     spread = F.floor(F.least(F.lit(2.0**62), (F.col("last_ns") - F.col("first_ns")) / F.ceil(F.col("n") / F.lit(target_rows))) / unit) + 1
     steps = F.greatest(F.lit(least), spread if most_steps is None else F.least(F.lit(max(most_steps, least)), spread))
-    return staged(
+    return dimension(
         known.join(counted, "series_id")
         .withColumn("origin_ns", F.expr(f"first_ns - first_ns % {step}") if step else F.col("first_ns"))
         .withColumn("width_ns", (steps * unit).cast("long"))
@@ -86,7 +86,7 @@ def sharded(points: DataFrame, plan: DataFrame, extras: list[str], halo: bool =
     plan. One shuffle, on (series, shard); order within it (series_id, shard, ts_ns, ingest_seq, value).
     """
     rows = join_dimension(
-        valid_points(points), plan.select("series_id", "origin_ns", "width_ns", "last_shard", "halo_ns", *extras), "series_id", F.col("ts_ns")
+        valid_points(points), plan, "series_id", F.col("ts_ns")
     )
     if halo:
         low = F.expr("greatest(ts_ns - halo_ns - origin_ns, 0) div width_ns")
@@ -171,7 +171,7 @@ def current_readings(points: DataFrame, described: DataFrame) -> DataFrame:
     The highest ``ingest_seq`` wins; ties take the greatest value. Partial aggregation removes repeats
     before the shuffle.
     """
-    ids = staged(described.select("series_id"))
+    ids = dimension(described.select("series_id"))
     chosen = join_dimension(valid_points(points), ids, "series_id", F.col("ts_ns"))
     return (
         chosen.groupBy("series_id", "ts_ns")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from chronoloom.operators.shards import latest, plan_shards, sharded, starts_of, whole_shards
-from chronoloom.operators.staging import join_dimension, staged
+from chronoloom.operators.staging import dimension, join_dimension, staged
 
 #: Readings looked at on either side; a brief excursion must be shorter than half of it.
 SIDE = 8
@@ -181,7 +181,7 @@ def stuck_parts(parts: DataFrame) -> DataFrame:
     """
     usual = parts.groupBy("series_id").agg(F.coalesce(F.max(F.when(F.col("n") < STUCK_READINGS, F.col("n"))), F.lit(2)).alias("usual"))
     candidates = parts.where(F.col("n") >= STUCK_READINGS)
-    return join_dimension(candidates, staged(usual), "series_id", F.col("start_ns")).where(F.col("n") >= F.col("usual") * STUCK_TIMES)
+    return join_dimension(candidates, dimension(usual), "series_id", F.col("start_ns")).where(F.col("n") >= F.col("usual") * STUCK_TIMES)
 
 
 def implausible(points: DataFrame, gauges: DataFrame) -> DataFrame:
@@ -191,7 +191,7 @@ def implausible(points: DataFrame, gauges: DataFrame) -> DataFrame:
     ``gauges`` the columns ``series_id, lo, hi, step_ns``; a gauge without a positive step is left out.
     """
     features = staged(reading_features(points, gauges))
-    ranges = staged(fences(residual_sketches(features)))
+    ranges = dimension(fences(residual_sketches(features)))
     hour = F.expr("cast((ts_ns div 3600000000000) % 24 as int)")
     judged = join_dimension(features.withColumn("hour", hour), ranges, ["series_id", "hour"], F.col("ts_ns"), "left")
     impossible = (F.col("value") < F.col("lo")) | (F.col("value") > F.col("hi")) | (F.abs("value") == float("inf"))
@@ -215,7 +215,7 @@ def _members(features: DataFrame, stuck: DataFrame) -> DataFrame:
 
     The first reading of a part may lie in the shard before its own.
     """
-    spans = staged(
+    spans = dimension(
         stuck.withColumn("shard", F.explode(F.array("shard", F.col("shard") - 1)))
         .groupBy("series_id", "shard").agg(F.collect_list(F.struct("start_ns", "end_ns")).alias("spans"))
     )

@@ -12,6 +12,8 @@ from chronoloom.errors import StorageError
 
 #: Rows up to which a dimension is broadcast. At some 100 bytes a row this is about 50 MB.
 BROADCAST_ROWS = 500_000
+#: A table of at most this many rows, made from at most this many bytes, is kept on the driver instead of being written.
+LOCAL_ROWS, LOCAL_INPUT_BYTES = 20_000, 512 << 20
 #: Copies of the dimension, and slices of each key of the facts, in a salted join.
 SALTS = 32
 
@@ -67,6 +69,23 @@ def is_small(df: DataFrame, most: int = BROADCAST_ROWS) -> bool:
     return df.limit(most + 1).count() <= most
 
 
+def dimension(df: DataFrame) -> DataFrame:
+    """``df`` computed once, to be joined by its measured size.
+
+    A small table made from little input becomes a local one in a single job. Anything else is staged: where
+    the input is large it must not be computed a second time to find that the result is large too.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    if size <= LOCAL_INPUT_BYTES:
+        found = df.limit(LOCAL_ROWS + 1).toArrow()
+        if found.num_rows <= LOCAL_ROWS:
+            local = df.sparkSession.createDataFrame(found, df.schema)
+            local.known_rows = found.num_rows
+            return local
+    return staged(df)
+
+
 def join_dimension(
     facts: DataFrame, dimension: DataFrame, on: str | list[str], salt: Column, how: str = "inner", most: int = BROADCAST_ROWS
 ) -> DataFrame:
@@ -77,7 +96,8 @@ def join_dimension(
     a key) and the dimension is repeated once per slice, so no task gets a whole hot key.
     """
     on = [on] if isinstance(on, str) else list(on)
-    if is_small(dimension, most):
+    known = getattr(dimension, "known_rows", None)
+    if known <= most if isinstance(known, int) else is_small(dimension, most):
         return facts.join(F.broadcast(dimension), on, how)
     left = facts.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("int"))
     right = dimension.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))

@@ -11,7 +11,7 @@ from chronoloom.errors import InvalidQuery
 from chronoloom.functions.duration import minutes, timestamp
 from chronoloom.functions.names import MetricName
 from chronoloom.operators import buckets
-from chronoloom.operators.staging import join_dimension, staged
+from chronoloom.operators.staging import dimension, join_dimension, staged
 from chronoloom.plans.filters import parse_filter
 
 
@@ -110,7 +110,7 @@ class Query:
                 if bound is not None:
                     rows = rows.where(keep(month_of(F.lit(bound).cast("long"))))
         rows = rows.select("series_id", "ts_ns", "value", "ingest_seq").where("series_id IS NOT NULL AND ts_ns >= 0")
-        joined = join_dimension(rows, staged(self.matching_series()) if chosen is None else chosen, "series_id", F.col("ts_ns"))
+        joined = join_dimension(rows, dimension(self.matching_series()) if chosen is None else chosen, "series_id", F.col("ts_ns"))
         latest = joined.groupBy("group", "series_id", "ts_ns").agg(F.max(F.struct("ingest_seq", "value")).getField("value").alias("value"))
         value = F.col("value").cast("float").cast("double") if self.options.single_precision else F.col("value").cast("double")
         return latest.where("value IS NOT NULL").withColumn("value", value)
@@ -128,7 +128,7 @@ class Query:
     def build(self) -> Groups:
         """The groups of the result, to be read one by one."""
         parse_filter(self.filter_text, self.options.sets)
-        chosen = staged(self.matching_series())
+        chosen = dimension(self.matching_series())
         o = self.options
         points = self.matching_points(chosen)
         result = buckets.bucketed(points, self.agg, self.width_ns, boundary=o.boundary, order=o.order, single=self.one_bucket())
