@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from chronoloom.llm.tokens import TOKENIZER, with_token_counts
-from chronoloom.operators.staging import join_dimension, staged
+from chronoloom.operators.staging import dimension, join_dimension
 
 #: Bins of one level of the prefix sums.
 FANOUT = 1024
@@ -60,7 +60,7 @@ def source_plan(records: DataFrame, targets: DataFrame, total_tokens: int | None
     rest, short``. The total is ``total_tokens`` or the size of all records, each counted once.
     A target with a null share counts as 0, with null repeats as 1; targets of equal sources are added up.
     """
-    sizes = staged(records.groupBy("source_key").agg(F.sum("tokens").alias("size"), F.count("*").alias("records")))
+    sizes = dimension(records.groupBy("source_key").agg(F.sum("tokens").alias("size"), F.count("*").alias("records")))
     total = total_tokens if total_tokens is not None else (sizes.agg(F.sum("size")).first()[0] or 0)
     wanted = targets.withColumn("source_key", plain_source("source")).groupBy("source_key").agg(
         F.min("source").alias("source"), F.sum(F.coalesce("target_share", F.lit(0.0))).alias("target_share"),
@@ -71,7 +71,7 @@ def source_plan(records: DataFrame, targets: DataFrame, total_tokens: int | None
     full = F.when(F.col("size") > 0, F.floor(budget / F.col("size"))).otherwise(F.lit(0))
     short = F.col("size") * F.col("max_repeats") < F.col("target_share") * F.col("all_size")
     planned = met.withColumns({"budget": budget.cast("long"), "epochs": F.least(full, F.col("max_repeats")).cast("long"), "short": short})
-    return staged(planned.withColumn("rest", F.when(F.col("short") | (F.col("epochs") >= F.col("max_repeats")), F.lit(0)).otherwise(F.col("budget") - F.col("epochs") * F.col("size")).cast("long")))
+    return dimension(planned.withColumn("rest", F.when(F.col("short") | (F.col("epochs") >= F.col("max_repeats")), F.lit(0)).otherwise(F.col("budget") - F.col("epochs") * F.col("size")).cast("long")))
 
 
 def mixture(records: DataFrame, plan: DataFrame) -> DataFrame:
@@ -94,7 +94,7 @@ def mixture(records: DataFrame, plan: DataFrame) -> DataFrame:
 def _limits(records: DataFrame, plan: DataFrame) -> DataFrame:
     """Per source with a fractional selection: everything placed below ``below`` is in (``spent`` tokens); the
     budget ends between ``below`` and ``until``. At most one row per target source."""
-    limits = staged(
+    limits = dimension(
         plan.where("rest > 0").select("source_key", "rest", F.lit(0.0).alias("below"), F.lit(1.0).alias("until"), F.lit(0).cast("long").alias("spent"), F.col("records").alias("rows"))
     )
     for _ in range(LEVELS):
@@ -111,7 +111,7 @@ def _limits(records: DataFrame, plan: DataFrame) -> DataFrame:
         )
         width = (F.col("until") - F.col("below")) / FANOUT
         fits = F.col("end").isNull()  # all of the range fits
-        limits = staged(
+        limits = dimension(
             limits.join(ends, "source_key", "left").select(
                 "source_key", "rest",
                 F.when(fits, F.col("until")).otherwise(F.col("below") + width * F.col("end.bin")).alias("below"),

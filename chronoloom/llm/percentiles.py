@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from chronoloom.operators.shards import latest, plan_shards, sharded, starts_of, whole_shards
-from chronoloom.operators.staging import join_dimension, staged, unstage
+from chronoloom.operators.staging import dimension, join_dimension, unstage
 
 #: Values of a piece at most.
 PIECE = 2048
@@ -179,7 +179,7 @@ def _with_work(pieces: DataFrame, members: DataFrame, work: DataFrame) -> DataFr
     """Each piece with the ``work`` of all groups its part belongs to; a part has few groups."""
     fields = [c for c in work.columns]
     each = members.join(work, "group_id").groupBy("series_id").agg(F.collect_list(F.struct(*fields)).alias("work"))
-    return join_dimension(pieces, staged(each), "series_id", F.col("first")).select("vals", "work")
+    return join_dimension(pieces, dimension(each), "series_id", F.col("first")).select("vals", "work")
 
 
 def multi_select(pieces: DataFrame, members: DataFrame, percentiles: tuple[float, ...], max_rank_error: float = 0.0) -> DataFrame:
@@ -189,11 +189,11 @@ def multi_select(pieces: DataFrame, members: DataFrame, percentiles: tuple[float
     many ranges are open. State is written each round, so neither lineage nor driver memory grows.
     """
     pieces = pieces.withColumn("first", F.hash(F.element_at("vals", 1)))
-    members = staged(members.where("series_id IS NOT NULL AND group_id IS NOT NULL").select("series_id", "group_id").distinct())
+    members = dimension(members.where("series_id IS NOT NULL AND group_id IS NOT NULL").select("series_id", "group_id").distinct())
     sizes = pieces.groupBy("series_id").agg(F.sum("n").alias("n")).join(members, "series_id").groupBy("group_id").agg(F.sum("n").alias("n"))
     wanted = F.explode(F.array(*[F.lit(float(p)) for p in percentiles])).alias("percentile")
     none = F.lit(None).cast("double")
-    state = staged(
+    state = dimension(
         sizes.select("group_id", "n", wanted)
         .withColumn("rank", F.greatest(F.lit(1), F.ceil(F.col("percentile") * F.col("n"))).cast("long"))
         .withColumns({"low": none, "high": none, "before": F.lit(0).cast("long"), "left": F.col("n"), "value": none})
@@ -225,7 +225,7 @@ def _round(pieces: DataFrame, members: DataFrame, state: DataFrame, bound: Colum
     aims = aims.withColumn("aim", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("aim") + F.col("side") * (1.0 / PROPOSALS))))
     reached = F.min(F.when(F.col("upto") >= F.col("aim") * F.col("all") * (1 - 1e-9), F.col("proposal")))
     pivots = aims.join(ranked, key).groupBy("group_id", "percentile", "side").agg(F.coalesce(reached, F.max("proposal")).alias("pivot"))
-    work = staged(pivots.groupBy("group_id").agg(F.array_sort(F.collect_set("pivot")).alias("pivots")))
+    work = dimension(pivots.groupBy("group_id").agg(F.array_sort(F.collect_set("pivot")).alias("pivots")))
     counted = _with_work(pieces, members, work).mapInArrow(_count, "group_id string, pivot double, below bigint, equal bigint")
     totals = counted.groupBy("group_id", "pivot").agg(F.sum("below").alias("below"), F.sum("equal").alias("equal"))
     found = totals.groupBy("group_id").agg(F.collect_list(F.struct("pivot", "below", "equal")).alias("pivots"))
@@ -245,7 +245,7 @@ def _round(pieces: DataFrame, members: DataFrame, state: DataFrame, bound: Colum
         F.when(lowered, F.col("over.below")).otherwise(F.col("before") + F.col("left")).alias("upto"),
         F.when(open_ & (F.size("hit") > 0), F.get("hit", F.lit(0))["pivot"]).otherwise(F.col("value")).alias("value"),
     )
-    return staged(narrowed.withColumn("left", F.col("upto") - F.col("before")).select("group_id", "n", "percentile", "rank", "low", "high", "before", "left", "value"))
+    return dimension(narrowed.withColumn("left", F.col("upto") - F.col("before")).select("group_id", "n", "percentile", "rank", "low", "high", "before", "left", "value"))
 
 
 def _finish(pieces: DataFrame, members: DataFrame, state: DataFrame, max_rank_error: float) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from chronoloom.llm import contamination, mixing, percentiles, residue, runs
 from chronoloom.operators import shards
-from chronoloom.operators.staging import staged
+from chronoloom.operators.staging import dimension, staged
 from chronoloom.sources.tables import table
 
 
@@ -20,7 +20,7 @@ def _tag_groups(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _selected(spark: SparkSession, folder: str, wanted: tuple[float, ...]) -> DataFrame:
-    groups = staged(_tag_groups(spark, folder))
+    groups = dimension(_tag_groups(spark, folder))
     pieces = staged(percentiles.reading_pieces(table(spark, folder, "points"), groups.select("series_id").distinct()))
     chosen = percentiles.multi_select(pieces, groups, wanted)
     names = groups.select("group_id", "metric_name", "group_by", "group_value").distinct()
