@@ -20,6 +20,7 @@ import re
 import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -41,6 +42,8 @@ _SLOT = re.compile(
     r"|\[\[[^\[\]]{1,80}\]\]|<%[^<>]{0,80}%>|<insert [^<>]{1,80}>|\[(?!sic\])[a-z]+(?: [a-z]+){0,3}\]|\{[0-9]{1,2}\})+",
     re.IGNORECASE,
 )
+#: Every placeholder has one of these signs.
+_SLOT_SIGN = re.compile(r"[{\[%#@<]|__")
 _TAG = re.compile(r"</?(?!noscript|slot>)[a-z][a-z0-9]{0,15}(?: [^<>]{0,200})?/?>", re.IGNORECASE)
 _TOKEN = re.compile(
     r"<slot>|</?noscript>|(?:(?<=\s)|^)/[\w./-]+|[\w./-]*/[\w./-]*\w|\w+\.(?:php|py|js|html?)\b|o'clock|[^\W_]+(?:_[^\W_]+)+|[^\W_]+|[–:=`(),-]", re.IGNORECASE
@@ -53,27 +56,27 @@ def residue_tokens(text: str | None) -> list[str]:
     """Tokens of a text with placeholders, numbers, codes, paths and filler words by class."""
     if not text:
         return []
-    plain = unicodedata.normalize("NFKC", UNSEEN.sub("", html.unescape(text)))
-    plain = _TAG.sub(" ", _SLOT.sub(" <slot> ", plain)).lower()
-    tokens = []
-    for token in _TOKEN.findall(plain):
-        if token[0] == "<":
-            tokens.append("noscript" if "noscript" in token else "<slot>")
-        elif token.isdigit():
-            tokens.append("<id>" if len(token) == 8 else "<n>")
-        elif _CODE.match(token):
-            tokens.append("<id>")
-        elif token == "/":
-            continue
-        elif "/" in token or "." in token:
-            tokens.append("<path>")
-        elif token in _FILLER:
-            tokens.append("<filler>")
-        elif token in _SCRIPT:
-            tokens.append("<script>")
-        else:
-            tokens.append(token)
-    return tokens
+    plain = html.unescape(text) if "&" in text else text
+    if not plain.isascii():
+        plain = unicodedata.normalize("NFKC", UNSEEN.sub("", plain))
+    if _SLOT_SIGN.search(plain):
+        plain = _SLOT.sub(" <slot> ", plain)
+    plain = (_TAG.sub(" ", plain) if "<" in plain else plain).lower()
+    return [t for t in map(_class_of, _TOKEN.findall(plain)) if t]
+
+
+@lru_cache(1 << 16)
+def _class_of(token: str) -> str:
+    """The token, or the class it counts as; a lone slash is none."""
+    if token[0] == "<":
+        return "noscript" if "noscript" in token else "<slot>"
+    if token.isdigit():
+        return "<id>" if len(token) == 8 else "<n>"
+    if _CODE.match(token):
+        return "<id>"
+    if "/" in token or "." in token:
+        return "<path>" if token != "/" else ""
+    return "<filler>" if token in _FILLER else "<script>" if token in _SCRIPT else token
 
 
 def exemplar_tokens(passage: str) -> list[str]:
@@ -87,8 +90,26 @@ def terms_of(tokens: list[str]) -> list[tuple[str, ...]]:
     return single + [(a, b) for a, b in zip(tokens, tokens[1:]) if "<any>" not in (a, b)]
 
 
-def exemplar_vocabulary(exemplars: list[tuple[str, bool]]) -> frozenset[tuple[str, ...]]:
-    return frozenset(term for passage, _ in exemplars for term in terms_of(exemplar_tokens(passage)))
+class Vocabulary:
+    """The terms of a list of exemplars."""
+
+    def __init__(self, exemplars: list[tuple[str, bool]]):
+        self.terms = frozenset(term for passage, _ in exemplars for term in terms_of(exemplar_tokens(passage)))
+        self.tokens = frozenset(t for term in self.terms for t in term)
+
+    def held(self, tokens: list[str]) -> set[tuple[str, ...]]:
+        """The distinct terms that a text's tokens hold; only neighbours that are both known can be one."""
+        known = self.tokens
+        found = {(t,) for t in known.intersection(tokens)}
+        before = None
+        for token in tokens:
+            if token in known:
+                if before is not None:
+                    found.add((before, token))
+                before = token
+            else:
+                before = None
+        return found & self.terms
 
 
 def document_frequencies(documents: DataFrame, exemplars: list[tuple[str, bool]]) -> tuple[int, dict[tuple[str, ...], int]]:
@@ -96,7 +117,7 @@ def document_frequencies(documents: DataFrame, exemplars: list[tuple[str, bool]]
 
     Counted per partition and added up; what reaches the driver is one number per exemplar term.
     """
-    vocabulary = exemplar_vocabulary(exemplars)
+    vocabulary = Vocabulary(exemplars)
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -104,8 +125,7 @@ def document_frequencies(documents: DataFrame, exemplars: list[tuple[str, bool]]
         for batch in batches:
             for text in batch.column("text").to_pylist():
                 n += 1
-                tokens = residue_tokens(text)
-                seen.update(vocabulary.intersection(terms_of(tokens)))
+                seen.update(vocabulary.held(residue_tokens(text)))
         rows = [("\t".join(term), k) for term, k in seen.items()] + [("", n)]
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["term", "n"])
 
@@ -119,6 +139,7 @@ class ExemplarIndex:
 
     def __init__(self, exemplars: list[tuple[str, bool]], documents: int, frequencies: dict[tuple[str, ...], int], containment: float = CONTAINMENT):
         self.containment = containment
+        self.vocabulary = Vocabulary(exemplars)
         self.labels = [label for _, label in exemplars]
         self.lengths: list[int] = []
         self.weights: list[dict[tuple[str, ...], tuple[int, float]]] = []
@@ -131,8 +152,13 @@ class ExemplarIndex:
             own = {t: (n, self._idf(t, documents, frequencies)) for t, n in counts.items()}
             self.weights.append(own)
             self.mass.append(sum(n * w for n, w in own.values()))
-            for t in own:
+            # enough of an exemplar cannot be held without one of its rarest terms of more than the rest's weight
+            spare = (1 - containment) * self.mass[i] + 1e-9
+            for t in sorted(own, key=lambda t: (frequencies.get(t, 0), t)):
                 self.postings[t].append(i)
+                spare -= own[t][0] * own[t][1]
+                if spare < 0:
+                    break
 
     @staticmethod
     def _idf(term: tuple[str, ...], documents: int, frequencies: dict[tuple[str, ...], int]) -> float:
@@ -142,12 +168,9 @@ class ExemplarIndex:
 
     def candidates(self, tokens: list[str]) -> list[int]:
         """Exemplars of which the whole text holds enough, counted as a set of terms."""
-        held: dict[int, float] = defaultdict(float)
-        for term in set(terms_of(tokens)):
-            for i in self.postings.get(term, ()):
-                n, w = self.weights[i][term]
-                held[i] += n * w
-        return [i for i, mass in held.items() if mass >= self.containment * self.mass[i]]
+        held = self.vocabulary.held(tokens)
+        near = {i for term in held for i in self.postings.get(term, ())}
+        return [i for i in sorted(near) if sum(n * w for t, (n, w) in self.weights[i].items() if t in held) >= self.containment * self.mass[i]]
 
     def best_window(self, i: int, tokens: list[str]) -> Iterator[tuple[float, int, int]]:
         """(containment, begin, end) of each window that reaches the threshold, by a sliding count of terms."""
