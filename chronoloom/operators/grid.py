@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from chronoloom.operators.shards import latest, plan_shards, sharded, starts_of, whole_shards
-from chronoloom.operators.staging import staged
+from chronoloom.operators.staging import dimension, join_dimension, staged
 
 #: Half width of the kernel in steps.
 BANDWIDTH = 2.5
@@ -110,23 +110,26 @@ def regular_grid(points: DataFrame, gauges: DataFrame, bandwidth: float = BANDWI
     known = gauges.select("series_id", F.col("step_ns").cast("long").alias("step_ns"))
     plan = plan_shards(points, known, step="step_ns", halo_steps=reach, most_steps=SHARD_CELLS)
     packed = staged(sharded(points, plan, ["step_ns"], halo=True).mapInArrow(_pack(bandwidth, min_support), _PACKED))
-    bounds = packed.groupBy("series_id").agg(F.min("first_cell").alias("low"), F.max("last_cell").alias("high")).where("low IS NOT NULL")
+    bounds = dimension(packed.groupBy("series_id").agg(F.min("first_cell").alias("low"), F.max("last_cell").alias("high")).where("low IS NOT NULL"))
+    bounded = join_dimension(packed, bounds, "series_id", F.col("shard")).where("begin_cell <= high AND begin_cell + size(counts) > low")
     after = W.partitionBy("series_id").orderBy("shard")
+    behind = F.col("begin_cell") + F.size("counts")
     here = (
-        packed.select("series_id", "shard", "begin_cell", "step_ns", F.size("counts").alias("cells"))
-        .withColumn("next_cell", F.lead("begin_cell").over(after))
-        .withColumn("behind", F.col("begin_cell") + F.col("cells"))
+        packed.select("series_id", "step_ns", behind.alias("behind"), F.lead("begin_cell").over(after).alias("next_cell"))
         .where("next_cell > behind")
+        .withColumn("b", F.explode(F.sequence("behind", F.col("next_cell") - 1, F.lit(SHARD_CELLS).cast("long"))))
     )
-    block = here.select("series_id", "step_ns", "next_cell", F.explode(F.sequence("behind", F.col("next_cell") - 1, F.lit(SHARD_CELLS).cast("long"))).alias("b"))
-    hollow = block.select("series_id", "step_ns", F.explode(F.sequence("b", F.least(F.col("b") + (SHARD_CELLS - 1), F.col("next_cell") - 1))).alias("cell"))
-    hollow = hollow.select("series_id", "step_ns", "cell", F.lit(0).alias("n_readings"), F.lit(None).cast("double").alias("value"), F.lit(0).cast("float").alias("support"))
-    solid = packed.select(
-        "series_id", "step_ns", "begin_cell", F.posexplode(F.arrays_zip("counts", "fits", "support")).alias("at", "x")
+    hollow = (
+        join_dimension(here, bounds, "series_id", F.col("b"))
+        .select("series_id", "step_ns", "low", "high", F.explode(F.sequence("b", F.least(F.col("b") + (SHARD_CELLS - 1), F.col("next_cell") - 1))).alias("cell"))
+        .select("series_id", "step_ns", "low", "high", "cell", F.lit(0).alias("n_readings"), F.lit(None).cast("double").alias("value"), F.lit(0).cast("float").alias("support"))
+    )
+    solid = bounded.select(
+        "series_id", "step_ns", "low", "high", "begin_cell", F.posexplode(F.arrays_zip("counts", "fits", "support")).alias("at", "x")
     ).select(
-        "series_id", "step_ns", (F.col("begin_cell") + F.col("at")).alias("cell"), F.col("x.counts").alias("n_readings"),
+        "series_id", "step_ns", "low", "high", (F.col("begin_cell") + F.col("at")).alias("cell"), F.col("x.counts").alias("n_readings"),
         F.when(~F.isnan("x.fits"), F.col("x.fits")).alias("value"), F.col("x.support").alias("support"),
     )
-    cells = solid.unionByName(hollow).join(bounds, "series_id").where("cell BETWEEN low AND high")
+    cells = solid.unionByName(hollow).where("cell BETWEEN low AND high")
     status = F.when(F.col("n_readings") > 0, "observed").when(F.col("value").isNotNull(), "filled").otherwise("missing")
     return cells.select("series_id", (F.col("cell") * F.col("step_ns")).alias("start_ns"), "value", "support", "n_readings", status.alias("status"))

@@ -1,7 +1,8 @@
 import numpy as np
+import pytest
 from hypothesis import given, settings, strategies as st
 
-from chronoloom.operators import buckets
+from chronoloom.operators import buckets, staging
 
 
 def fold(times, width):
@@ -29,7 +30,9 @@ def test_ends_equal_the_fold(times, width):
         assert limit == at - width
 
 
-def test_many_shards_per_group(spark):
+@pytest.mark.parametrize("local_bytes", [512 << 20, -1])
+def test_many_shards_per_group(spark, monkeypatch, local_bytes):
+    monkeypatch.setattr(staging, "LOCAL_INPUT_BYTES", local_bytes)
     rng = np.random.default_rng(3)
     rows = [(g, int(s), int(t), float(v)) for g, n in (("hot", 3000), ("cold", 5), ("wide", 200)) for s, t, v in zip(rng.integers(0, 3, n), rng.integers(0, 20_000 if g != "wide" else 10**12, n), rng.integers(0, 9, n))]
     df = spark.createDataFrame(rows + [(None, 1, 1, 1.0), ("hot", 1, 1, None)], "group STRING, series_id BIGINT, ts_ns BIGINT, value DOUBLE")

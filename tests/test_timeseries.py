@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from chronoloom.operators import grid, hotkeys, rolling, shards, spikes
+from chronoloom.operators import staging
 from chronoloom.operators.staging import join_dimension
 
 DAY = rolling.DAY_NS
@@ -121,6 +122,7 @@ def gauges(spark, *ids, lo=0.0, hi=100.0):
 @pytest.mark.parametrize("target_rows", [1 << 16, 150])
 def test_spikes_stuck_and_impossible(spark, make_points, monkeypatch, target_rows):
     monkeypatch.setattr(spikes, "plan_shards", lambda *a, **k: shards.plan_shards(*a, **k, target_rows=target_rows))
+    monkeypatch.setattr(staging, "LOCAL_INPUT_BYTES", 512 << 20 if target_rows > 150 else -1)
     rng = np.random.default_rng(4)
     n = 1500
     values = 50 + 10 * np.sin(np.arange(n) / 200) + rng.normal(0, 0.3, n)
@@ -187,6 +189,7 @@ def brute_cell(readings, k, step, bandwidth=grid.BANDWIDTH):
 @pytest.mark.parametrize("cells", [2048, 8])
 def test_grid_against_brute_force(spark, make_points, monkeypatch, cells):
     monkeypatch.setattr(grid, "SHARD_CELLS", cells)
+    monkeypatch.setattr(staging, "LOCAL_INPUT_BYTES", 512 << 20 if cells > 8 else -1)
     rng = random.Random(6)
     step = 1000
     times = sorted(rng.sample(range(40 * step), 90) + rng.sample(range(300 * step, 340 * step), 30) + [900 * step])
