@@ -177,7 +177,7 @@ _add("series_catalog", series_catalog, _EVENT_SERIES + "SELECT metric, series_ke
 
 def tag_index_postings(spark: SparkSession, folder: str) -> DataFrame:
     index = postings.tag_index(_events(spark, folder).series())
-    return postings.posting_lists(index).select("term", F.size("series_ids").alias("n_series"))
+    return postings.posting_lists(index).groupBy("term").agg(F.sum(F.size("series_ids")).alias("n_series"))
 
 
 _add(

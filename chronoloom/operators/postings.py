@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from chronoloom.functions.names import term_column
+from chronoloom.operators.staging import dimension, join_dimension
 
 
 def tag_index(series: DataFrame) -> DataFrame:
@@ -14,10 +15,20 @@ def tag_index(series: DataFrame) -> DataFrame:
     return series.select("metric", F.explode("tags").alias("key", "value"), "series_id").where("value IS NOT NULL").distinct()
 
 
-def posting_lists(index: DataFrame) -> DataFrame:
-    """``term, series_ids``: the sorted ids of each term. A list holds ids of series, not of points."""
+#: Ids of one block of a posting list, about.
+BLOCK_IDS = 10_000
+
+
+def posting_lists(index: DataFrame, block_ids: int = BLOCK_IDS) -> DataFrame:
+    """``term, block, series_ids``: the ids of each term, in blocks of about ``block_ids`` sorted ids.
+
+    A term may be on a third of all series, so its list is cut by a hash of the id; the blocks of a term are
+    disjoint and together its list. Lists hold ids of series, not of points.
+    """
     named = index.select(term_column(F.col("metric"), F.col("key"), F.col("value")).alias("term"), "series_id")
-    return named.groupBy("term").agg(F.array_sort(F.collect_set("series_id")).alias("series_ids"))
+    sizes = dimension(named.groupBy("term").agg(F.ceil(F.count("*") / F.lit(block_ids)).alias("blocks")))
+    cut = join_dimension(named, sizes, "term", F.col("series_id")).withColumn("block", F.expr("pmod(xxhash64(series_id), blocks)"))
+    return cut.groupBy("term", "block").agg(F.array_sort(F.collect_set("series_id")).alias("series_ids"))
 
 
 def query_eq(index: DataFrame, metric: str, key: str, value: str) -> DataFrame:

@@ -144,6 +144,8 @@ def test_postings(spark):
     assert ids(postings.intersection(*lists)) == [1, 3] and ids(postings.complement(*lists[:2])) == [2, 4]
     lists = [spark.createDataFrame([(i,) for i in x], "series_id BIGINT") for x in ([1, 8], [1, 2], [1, 2, 4], [2, 4, 8])]
     assert ids(postings.union(*lists)) == [1, 2, 4, 8]
+    blocks = postings.posting_lists(postings.tag_index(series.withColumn("tags", F.create_map(F.lit("all"), F.lit("x")))), block_ids=2).collect()
+    assert {r["term"] for r in blocks} == {"m#all:x"} and len(blocks) > 1 and sorted(i for r in blocks for i in r["series_ids"]) == [0, 1, 2, 3, 4, 5, 9]
     row = spark.range(1).select(F.array(F.lit(1), F.lit(8)).alias("a"), F.array(F.lit(2), F.lit(1)).alias("b"))
     assert row.select(postings.union_arrays(F.col("a"), F.col("b")), postings.intersect_arrays(F.col("a"), F.col("b"))).first()[:] == ([1, 2, 8], [1])
 
