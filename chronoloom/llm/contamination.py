@@ -64,6 +64,31 @@ def least_distance(pattern: str, text: str, budget: int) -> int:
     return best
 
 
+def edits_of_prefix(pattern: str, text: str, budget: int) -> int:
+    """Least edits between ``pattern`` and any prefix of ``text``, or ``budget + 1`` if it takes more.
+
+    Follows the furthest reach on each diagonal edit by edit, so texts that differ are given up at once.
+    """
+    m, n = len(pattern), len(text)
+    reach: dict[int, int] = {0: 0}
+    for edits in range(budget + 1):
+        for diagonal, i in reach.items():
+            j = i + diagonal
+            while i < m and j < n and pattern[i] == text[j]:
+                i, j = i + 1, j + 1
+            if i == m:
+                return edits
+            reach[diagonal] = i
+        further: dict[int, int] = {}
+        for diagonal, i in reach.items():
+            # a letter replaced, one only in the text, one only in the pattern
+            for d, x in ((diagonal, i + 1), (diagonal + 1, i), (diagonal - 1, i + 1)):
+                if x <= m and 0 <= x + d <= n and x > further.get(d, -1):
+                    further[d] = x
+        reach = further
+    return budget + 1
+
+
 def piece_bounds(span_words: int, budget: int) -> list[tuple[int, int]]:
     """Word bounds of the ``budget + 1`` pieces of a window, as even as can be."""
     cuts = [round(i * span_words / (budget + 1)) for i in range(budget + 2)]
@@ -76,7 +101,7 @@ class ItemIndex:
     def __init__(self, items: list[tuple[int, list[str]]], span_words: int, budget: int):
         self.items = {key: words for key, words in items if len(words) >= span_words}
         self.span, self.budget = span_words, budget
-        bounds = piece_bounds(span_words, budget)
+        self.bounds = bounds = piece_bounds(span_words, budget)
         self.lengths = sorted({b - a for a, b in bounds})
         self.pieces: dict[str, dict[int, list[tuple[int, int]]]] = {}
         for key, words in self.items.items():
@@ -90,32 +115,47 @@ class ItemIndex:
         """(item, distance, exact) for each item with a window within the budget."""
         if len(words) < min(self.lengths, default=1):
             return
-        placed: dict[int, set[tuple[int, int]]] = defaultdict(set)
+        placed: dict[int, set[tuple[int, int, int]]] = defaultdict(set)
         for size in self.lengths:
             for i in range(len(words) - size + 1):
                 hit = self.pieces.get(" ".join(words[i : i + size]))
                 if hit:
                     for key, at in hit.items():
-                        # the window would begin at word i - offset of the document
-                        placed[key].update((begin, i - offset) for begin, offset in at)
+                        placed[key].update((begin, i, offset) for begin, offset in at)
         for key, places in placed.items():
             found = self._verify(self.items[key], words, places)
             if found is not None:
                 yield key, *found
 
-    def _verify(self, item: list[str], words: list[str], places: set[tuple[int, int]]) -> tuple[int, bool] | None:
-        for begin, at in places:
+    def _verify(self, item: list[str], words: list[str], places: set[tuple[int, int, int]]) -> tuple[int, bool] | None:
+        """``places``: window's begin in the item, word of the document where a piece is, the piece's offset."""
+        for begin, i, offset in places:
+            at = i - offset
             if at >= 0 and words[at : at + self.span] == item[begin : begin + self.span]:
                 return 0, True
         best = self.budget + 1
-        for begin, at in places:
+        for begin, i, offset in places:
+            window = item[begin : begin + self.span]
+            if not self._near(window, words, i, offset):
+                continue
             # a budget of k edits can join or split at most k words
-            region = " ".join(words[max(0, at - self.budget) : max(0, at + self.span + self.budget)])
-            best = min(best, least_distance(" ".join(item[begin : begin + self.span]), region, self.budget))
+            region = words[max(0, i - offset - self.budget) : i - offset + self.span + self.budget]
+            best = min(best, least_distance(" ".join(window), " ".join(region), self.budget))
             if not best:
                 break
         return (best, False) if best <= self.budget else None
 
+    def _near(self, window: list[str], words: list[str], i: int, offset: int) -> bool:
+        """Whether the texts on both sides of a piece that is found exactly are within the budget together."""
+        size = next(b - a for a, b in self.bounds if a == offset)
+        after = " ".join(window[offset + size :])
+        right = edits_of_prefix(after, " ".join(words[i + size : i + size + self.span + self.budget]), self.budget) if after else 0
+        if right > self.budget:
+            return False
+        before = " ".join(window[:offset])[::-1]
+        left = edits_of_prefix(before, " ".join(words[max(0, i - self.span - self.budget) : i])[::-1], self.budget - right) if before else 0
+        return left + right <= self.budget
+
 
 def _blocks(items: DataFrame, block_words: int) -> Iterator[list[tuple[int, list[str]]]]:
     block: list[tuple[int, list[str]]] = []

@@ -40,6 +40,30 @@ def test_pieces_cover_the_window():
         assert len(bounds) == budget + 1 and bounds[0][0] == 0 and bounds[-1][1] == 12 and all(a[1] == b[0] for a, b in zip(bounds, bounds[1:]))
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(["ab", "cd", "abc", "d", "xyz", "q"]), min_size=6, max_size=14), st.integers(0, 10**6))
+def test_no_window_within_the_budget_is_skipped(words, seed):
+    """Against verification of every place, on texts made by edits of an item."""
+    rng = random.Random(seed)
+    text = list(" ".join(words))
+    for _ in range(rng.randint(0, 3)):
+        at = rng.randrange(len(text))
+        text[at : at + rng.choice([0, 1])] = rng.choice(["", "a", " ", "zz"])
+    document = normal_words("q " * rng.randint(0, 2) + "".join(text))
+    span, budget = (5, 1) if seed % 2 else (6, 2)
+    index = contamination.ItemIndex([(1, words)], span, budget)
+    found = [m for m in index.matches(document)]
+    want = budget + 1
+    for begin in range(len(words) - span + 1):
+        window = words[begin : begin + span]
+        for a, b in contamination.piece_bounds(span, budget):
+            for i in range(len(document)):
+                if document[i : i + b - a] == window[a:b]:
+                    region = document[max(0, i - a - budget) : max(0, i - a + span + budget)]
+                    want = min(want, brute_distance(" ".join(window), " ".join(region)))
+    assert (found[0][1] if found else budget + 1) == want
+
+
 def leak_fixture():
     rng = random.Random(10)
     items = {i: " ".join(rng.choices(WORDS, k=rng.randint(8, 30))) for i in range(12)}
