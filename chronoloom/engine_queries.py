@@ -40,13 +40,18 @@ def _stored(spark: SparkSession, folder: str) -> Database:
 
 def _shown(query: Query) -> DataFrame:
     """Results with the columns' names and rounding of the SQL side."""
-    return query.to_df().select(F.col("group").alias("grp"), F.col("start").alias("start_ns"), F.col("end").alias("end_ns"), F.round("value", 6).alias("value"), "len")
+    named = query.to_df().withColumnsRenamed({"group": "grp", "start": "start_ns", "end": "end_ns"})
+    return named.select("grp", "start_ns", "end_ns", F.round("value", 6).alias("value"), "len")
 
 
 _AGG_SQL = {"avg": "avg(v)", "sum": "sum(v)", "min": "min(v)", "max": "max(v)", "count": "count(*)::DOUBLE"}
 
 _EVENTS = """
-src AS (SELECT 'event.value' AS metric, event_type, 'u-' || user_id AS usr, CASE WHEN user_id % 2 = 0 THEN 'even' END AS half, epoch_ns(ts) AS ts, value AS v, event_id AS seq FROM events WHERE ts IS NOT NULL AND value IS NOT NULL)
+src AS (
+  SELECT 'event.value' AS metric, event_type, 'u-' || user_id AS usr, CASE WHEN user_id % 2 = 0 THEN 'even' END AS half,
+    epoch_ns(ts) AS ts, value AS v, event_id AS seq
+  FROM events WHERE ts IS NOT NULL AND value IS NOT NULL
+)
 """
 _ORDERS = """
 src AS (SELECT o_orderstatus AS status, o_orderpriority AS priority, epoch_ns(o_orderdate::TIMESTAMP) AS ts, o_totalprice AS v, o_orderkey AS seq FROM orders)
@@ -81,13 +86,21 @@ def _add(name: str, build: Callable[[SparkSession, str], DataFrame], sql: str |
         SQL[name] = sql
 
 
-def _add_buckets(name: str, agg: str, group: str, width: int, refine: Callable[[Query], Query] = lambda q: q, where: str = "true", source: str = _EVENTS, sql_group: str | None = None) -> None:
+def _add_buckets(
+    name: str,
+    agg: str,
+    group: str,
+    width: int,
+    refine: Callable[[Query], Query] = lambda q: q,
+    where: str = "true",
+    source: str = _EVENTS,
+) -> None:
     database, metric = (_events, "event.value") if source is _EVENTS else (_orders, "order.totalprice")
 
     def build(spark: SparkSession, folder: str) -> DataFrame:
         return _shown(refine(getattr(database(spark, folder), agg)(metric, group).granularity(width)))
 
-    _add(name, build, _bucket_sql(source, _SERIES_OF[source], sql_group or group, where, width, agg))
+    _add(name, build, _bucket_sql(source, _SERIES_OF[source], group, where, width, agg))
 
 
 for _agg in buckets.AGGREGATES:

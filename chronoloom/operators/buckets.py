@@ -120,7 +120,8 @@ def _assign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             distinct, back = np.unique(batch["ts_ns"][a:b], return_inverse=True)
             limit = None if batch["limit_ns"][a] < 0 else int(batch["limit_ns"][a])
             ends[a:b] = bucket_ends(distinct, int(batch["width_ns"][a]), limit)[back]
-        yield pa.RecordBatch.from_arrays([pa.array(batch["group_no"]), pa.array(batch["ts_ns"]), pa.array(batch["value"]), pa.array(ends)], ["group_no", "ts_ns", "value", "bucket_end"])
+        columns = [batch["group_no"], batch["ts_ns"], batch["value"], ends]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["group_no", "ts_ns", "value", "bucket_end"])
 
 
 def plan_groups(points: DataFrame, width_ns: int, target_rows: int = TARGET_ROWS) -> DataFrame:
@@ -186,7 +187,8 @@ def _fold(width: int, drop: bool):
                         stop += drop
                     at = stop
             keep = marks >= 0
-            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (groups, ts, batch.column("value").to_numpy(zero_copy_only=False), marks)], ["group_no", "ts_ns", "value", "bucket_end"])
+            columns = [groups, ts, batch.column("value").to_numpy(zero_copy_only=False), marks]
+            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns], ["group_no", "ts_ns", "value", "bucket_end"])
 
     return work
 
@@ -206,7 +208,16 @@ def assign_streamed(points: DataFrame, width_ns: int, drop: bool, by_series: boo
     return ready.mapInArrow(_fold(width_ns, drop), "group_no bigint, ts_ns bigint, value double, bucket_end bigint")
 
 
-def bucketed(points: DataFrame, agg: str, width_ns: int, *, boundary: str = "keep", order: str = "time", single: bool = False, target_rows: int = TARGET_ROWS) -> DataFrame:
+def bucketed(
+    points: DataFrame,
+    agg: str,
+    width_ns: int,
+    *,
+    boundary: str = "keep",
+    order: str = "time",
+    single: bool = False,
+    target_rows: int = TARGET_ROWS,
+) -> DataFrame:
     """``group, start, end, value, len`` from points ``group, series_id, ts_ns, value``.
 
     ``start`` and ``end`` are the times of the oldest and newest point of the bucket. Rows with a null group

@@ -122,7 +122,7 @@ def regular_grid(points: DataFrame, gauges: DataFrame, bandwidth: float = BANDWI
     hollow = (
         join_dimension(here, bounds, "series_id", F.col("b"))
         .select("series_id", "step_ns", "low", "high", F.explode(F.sequence("b", F.least(F.col("b") + (SHARD_CELLS - 1), F.col("next_cell") - 1))).alias("cell"))
-        .select("series_id", "step_ns", "low", "high", "cell", F.lit(0).alias("n_readings"), F.lit(None).cast("double").alias("value"), F.lit(0).cast("float").alias("support"))
+        .withColumns({"n_readings": F.lit(0), "value": F.lit(None).cast("double"), "support": F.lit(0).cast("float")})
     )
     solid = bounded.select(
         "series_id", "step_ns", "low", "high", "begin_cell", F.posexplode(F.arrays_zip("counts", "fits", "support")).alias("at", "x")

@@ -47,7 +47,8 @@ STUCK_READINGS = 10
 STUCK_TIMES = 2.0
 
 FEATURES = (
-    "series_id bigint, shard bigint, ts_ns bigint, prev_ns bigint, value double, step double, residual double, off_left double, off_right double, lo double, hi double, carried boolean"
+    "series_id bigint, shard bigint, ts_ns bigint, prev_ns bigint, value double, step double, residual double, "
+    "off_left double, off_right double, lo double, hi double, carried boolean"
 )
 
 
@@ -79,12 +80,13 @@ def _features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         possible = np.isfinite(value) & ~(value < block["lo"]) & ~(value > block["hi"])
         left = _side_median(value, ts, possible, first, block["halo_ns"], False)
         right = _side_median(value, ts, possible, first, block["halo_ns"], True)
-        with np.errstate(invalid="ignore"):
+        with np.errstate(invalid="ignore", over="ignore"):
             centre = np.where(np.isnan(left), right, np.where(np.isnan(right), left, (left + right) / 2))
             step = np.r_[np.nan, np.diff(value)]
             prev = np.r_[-1, ts[:-1]]
             step[first], prev[first] = np.nan, -1
-            residual = np.where(possible, value - centre, np.nan)
+            residual = value - centre
+            residual[~possible | ~np.isfinite(residual)] = np.nan
             off_left, off_right = value - left, value - right
         begin = block["origin_ns"] + block["shard"] * block["width_ns"]
         own = (ts >= begin) & (ts - begin < block["width_ns"])
@@ -100,13 +102,14 @@ def reading_features(points: DataFrame, gauges: DataFrame) -> DataFrame:
     ``gauges`` has ``series_id, lo, hi, step_ns``. One shuffle of the points by (series, time shard); the
     shards carry a halo of ``HALO_STEPS`` steps.
     """
-    plan = plan_shards(points, gauges.select("series_id", F.col("lo").cast("double"), F.col("hi").cast("double"), "step_ns"), step="step_ns", halo_steps=HALO_STEPS)
+    known = gauges.select("series_id", F.col("lo").cast("double"), F.col("hi").cast("double"), "step_ns")
+    plan = plan_shards(points, known, step="step_ns", halo_steps=HALO_STEPS)
     return sharded(points, plan, ["lo", "hi", "halo_ns"], halo=True).mapInArrow(_features, FEATURES)
 
 
 def sketch_bucket(value: Column, growth: float = GROWTH) -> Column:
     """Bucket number of a residual: symmetric, logarithmic above 2^-40, so relative error is bounded."""
-    scaled = F.ceil(F.log(F.abs(value) * float(2**40)) / float(np.log(growth)))
+    scaled = F.ceil((F.log(F.abs(value)) + 40 * float(np.log(2))) / float(np.log(growth)))
     return F.when(F.abs(value) <= float(2.0**-40), F.lit(0)).otherwise(F.signum(value) * F.greatest(scaled, F.lit(1))).cast("int")
 
 
@@ -118,8 +121,9 @@ def bucket_middle(bucket: Column, growth: float = GROWTH) -> Column:
 
 def residual_sketches(features: DataFrame) -> DataFrame:
     """Mergeable sketch rows ``series_id, hour, bucket, n`` of the residuals (UTC hour of day)."""
-    hour = F.expr("cast((ts_ns div 3600000000000) % 24 as int)")
-    return features.where("residual IS NOT NULL").groupBy("series_id", hour.alias("hour"), sketch_bucket(F.col("residual")).alias("bucket")).agg(F.count("*").alias("n"))
+    hour = F.expr("cast((ts_ns div 3600000000000) % 24 as int)").alias("hour")
+    bucket = sketch_bucket(F.col("residual")).alias("bucket")
+    return features.where("residual IS NOT NULL").groupBy("series_id", hour, bucket).agg(F.count("*").alias("n"))
 
 
 def sketch_quartiles(sketches: DataFrame, *keys: str) -> DataFrame:

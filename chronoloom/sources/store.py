@@ -31,7 +31,18 @@ BUFFERED_POINTS = 1_000_000
 class Database:
     """Handle of a database; cheap to copy, safe to share between queries."""
 
-    def __init__(self, spark: SparkSession, path: str | None, points: DataFrame | None, series: DataFrame | None, *, hyper: bool = False, cache: bool = False, prefix: str = "", options: Options = Options()):
+    def __init__(
+        self,
+        spark: SparkSession,
+        path: str | None,
+        points: DataFrame | None,
+        series: DataFrame | None,
+        *,
+        hyper: bool = False,
+        cache: bool = False,
+        prefix: str = "",
+        options: Options = Options(),
+    ):
         self.spark, self.path, self.hyper, self.cache, self.prefix, self.options = spark, path, hyper, cache, prefix, options
         self._points, self._series = points, series
         self._buffer: list[tuple] = []
@@ -124,7 +135,7 @@ class Database:
             raise InvalidQuery(f"refused point: {refused[0].asDict()}")
         self._register(keyed)
         points = keyed.select("series_id", "ts_ns", "value", "ingest_seq", "metric", month_of(F.col("ts_ns")).alias("time_bucket"))
-        self._append(points.repartition("metric", "time_bucket", F.pmod("series_id", F.lit(8))).sortWithinPartitions("metric", "time_bucket", "series_id", F.desc("ts_ns")), "points")
+        self._append(_laid_out(points), "points")
 
     def _register(self, keyed: DataFrame) -> None:
         """Add the series that are not known yet; ids are hashes, so two keys of one id are refused."""
@@ -143,7 +154,7 @@ class Database:
         newest = F.max(F.struct("ingest_seq", "value"))
         rows = self.points().groupBy("metric", "time_bucket", "series_id", "ts_ns").agg(newest.alias("x"))
         points = rows.select("series_id", "ts_ns", "x.value", "x.ingest_seq", "metric", "time_bucket")
-        self._append(points.repartition("metric", "time_bucket", F.pmod("series_id", F.lit(8))).sortWithinPartitions("metric", "time_bucket", "series_id", F.desc("ts_ns")), "points", "errorifexists", f"{to}/{self.prefix}points")
+        self._append(_laid_out(points), "points", "errorifexists", f"{to}/{self.prefix}points")
         return Database.open(self.spark, to, hyper=self.hyper, cache=self.cache, prefix=self.prefix, options=self.options)
 
     def tags_of(self, series_id: int) -> dict[str, str]:
@@ -176,6 +187,16 @@ class Database:
         return self._query("count", metric, group_by)
 
 
+def _laid_out(points: DataFrame) -> DataFrame:
+    """Points as their files shall hold them: a folder per metric and month, newest first within a series.
+
+    A month of a metric goes to eight tasks by series and to as many more by day, so no task gets all of it.
+    """
+    day = F.expr("ts_ns div 86400000000000 % 8")
+    spread = points.repartition("metric", "time_bucket", F.pmod("series_id", F.lit(8)), day)
+    return spread.sortWithinPartitions("metric", "time_bucket", "series_id", F.desc("ts_ns"))
+
+
 class DatabaseBuilder:
     """Settings of a database before it is opened."""
 

@@ -29,4 +29,5 @@ def windowed_totals(stream: DataFrame, width: str, lateness: str) -> DataFrame:
     """
     timed = stream.withColumn("at", F.timestamp_micros(F.expr("ts_ns div 1000")))
     grouped = timed.withWatermark("at", lateness).groupBy(F.window("at", width), "metric")
-    return grouped.agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select("metric", F.col("window.start").alias("start"), F.col("window.end").alias("end"), "n", "total")
+    totals = grouped.agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+    return totals.select("metric", F.col("window.start").alias("start"), F.col("window.end").alias("end"), "n", "total")

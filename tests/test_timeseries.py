@@ -151,6 +151,9 @@ def test_spikes_edge_cases(spark, make_points):
     constant = gauge(1, [5.0] * 50 + [6.0] + [5.0] * 50)
     reasons = {r["ts_ns"]: r["reason"] for r in spikes.implausible(make_points(constant), gauges(spark, 1)).collect()}
     assert reasons[constant[50][1]] == "rate"
+    huge = gauge(1, [1e308, -1e308, 1.7e308, 0.0, 1e-300] * 20)
+    wide = gauges(spark, 1, lo=-1.7e308, hi=1.7e308)
+    assert spikes.implausible(make_points(huge), wide).where("reason = 'physical'").count() == 0
     unbounded = gauges(spark, 1).selectExpr("series_id", "CAST(NULL AS DOUBLE) lo", "CAST(NULL AS DOUBLE) hi", "step_ns")
     assert [r["reason"] for r in spikes.implausible(make_points([(1, 1, INF), (1, STEP, -5.0)]), unbounded).collect()] == ["physical"]
 
