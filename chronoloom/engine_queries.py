@@ -44,7 +44,13 @@ def _shown(query: Query) -> DataFrame:
     return named.select("grp", "start_ns", "end_ns", F.round("value", 6).alias("value"), "len")
 
 
-_AGG_SQL = {"avg": "avg(v)", "sum": "sum(v)", "min": "min(v)", "max": "max(v)", "count": "count(*)::DOUBLE"}
+_AGG_SQL = {
+    "avg": "avg(v)",
+    "sum": "sum(v)",
+    "min": "coalesce(min(v) FILTER (WHERE NOT isnan(v)), max(v))",
+    "max": "coalesce(max(v) FILTER (WHERE NOT isnan(v)), max(v))",
+    "count": "count(*)::DOUBLE",
+}
 
 _EVENTS = """
 src AS (
@@ -62,7 +68,8 @@ def _bucket_sql(source: str, series: str, group: str, where: str, width: int, ag
     """Newest-anchored buckets: the recursion lists their ends, the join finds their points."""
     return f"""
 WITH RECURSIVE {source},
-p AS (SELECT {group} AS g, ts, arg_max(v, seq) AS v FROM src WHERE ({where}) AND {group} IS NOT NULL GROUP BY {group}, {series}, ts),
+newest AS (SELECT {group} AS g, ts, arg_max(struct_pack(x := v), seq).x AS v FROM src WHERE ({where}) AND {group} IS NOT NULL GROUP BY {group}, {series}, ts),
+p AS (SELECT * FROM newest WHERE v IS NOT NULL),
 times AS (SELECT DISTINCT g, ts FROM p),
 steps AS MATERIALIZED (SELECT a.g, a.ts, b.ts AS older FROM times a ASOF LEFT JOIN times b ON a.g = b.g AND a.ts - {width} > b.ts),
 ends AS (
@@ -270,20 +277,32 @@ def _saved(number: int) -> Callable[[SparkSession, str], DataFrame]:
     return saved
 
 
-def _saved_sql(number: int, agg: str, metric: str, key: str, width: int, where: str, bounds: str) -> str:
+def _saved_sql(agg: str, metric: str, key: str, width: int, where: str = "true", bounds: str = "true") -> str:
     source = f"""
 src AS (
-  SELECT p.series_id, p.ts_ns AS ts, coalesce(p.value, 'inf'::DOUBLE) AS v, p.ingest_seq AS seq, element_at(s.tags, '{key}')[1] AS g0
+  SELECT p.series_id, p.ts_ns AS ts, p.value AS v, p.ingest_seq AS seq, element_at(s.tags, '{key}')[1] AS g0
   FROM points p JOIN series s USING (series_id) WHERE s.metric = '{metric}' AND ({where}) AND ({bounds})
 )
 """
-    # no stored value of this metric is infinite: infinity marks the null ones, which are no points
-    return _bucket_sql(source, "series_id", "g0", "true", width, agg).replace("GROUP BY g0, series_id, ts)", "GROUP BY g0, series_id, ts HAVING NOT isinf(arg_max(v, seq)))")
-
-
-_ENV = "element_at(s.tags, 'env')[1]"
-_add("saved_query_13", _saved(13), _saved_sql(13, "sum", "jobs.done", "service", 86_400_000_000_000, f"{_ENV} IN ('prod', 'staging')", "p.ts_ns <= 1731456000000000000"))
-_add("saved_query_15", _saved(15), _saved_sql(15, "sum", "logins.total", "env", 604_800_000_000_000, f"coalesce({_ENV}, '') NOT IN ('test', 'dev')", "p.ts_ns >= 1713139200000000000"))
-_add("saved_query_22", _saved(22), _saved_sql(22, "sum", "logins.total", "owner", 86_400_000_000_000, "true", "true"))
-for _number in (1, 7, 9, 11, 16, 17, 18, 20):
-    _add(f"saved_query_{_number}", _saved(_number))
+    return _bucket_sql(source, "series_id", "g0", "true", width, agg)
+
+
+def _tag(key: str) -> str:
+    return f"coalesce(element_at(s.tags, '{key}')[1], '')"
+
+
+# the saved queries of the test tables, written out
+for _number, _sql in {
+    1: _saved_sql("avg", "cpu.load", "host", minutes(20), bounds="p.ts_ns <= 1722124800000000000"),
+    7: _saved_sql("max", "request.latency", "service", minutes(1), f"{_tag('env')} = 'prod'"),
+    9: _saved_sql("sum", "query.rows", "service", hours(1), f"{_tag('service')} LIKE 'db.%'", "p.ts_ns BETWEEN 1709510400000000000 AND 1728345600000000000"),
+    11: _saved_sql("sum", "payload.bytes", "service", days(1)),
+    13: _saved_sql("sum", "jobs.done", "service", days(1), f"{_tag('env')} IN ('prod', 'staging')", "p.ts_ns <= 1731456000000000000"),
+    15: _saved_sql("sum", "logins.total", "env", days(7), f"{_tag('env')} NOT IN ('test', 'dev')", "p.ts_ns >= 1713139200000000000"),
+    16: _saved_sql("count", "node.state", "zone", hours(1), f"{_tag('zone')} LIKE 'north-%'"),
+    17: _saved_sql("max", "breaker.code", "zone", hours(1), f"{_tag('rack')} <> ''", "p.ts_ns <= 1734566400000000000"),
+    18: _saved_sql("min", "door.angle", "zone", hours(1), bounds="p.ts_ns >= 1714953600000000000"),
+    20: _saved_sql("min", "disk.temp", "rack", minutes(5)),
+    22: _saved_sql("sum", "logins.total", "owner", days(1)),
+}.items():
+    _add(f"saved_query_{_number}", _saved(_number), _sql)

@@ -54,3 +54,33 @@ def test_empty_and_huge_width(spark):
     df = spark.createDataFrame([("g", 1, 0, 1.0), ("g", 1, 2**62, 1.0)], df.schema)
     assert [r["len"] for r in buckets.bucketed(df, "avg", 2**62).collect()] == [2]
     assert sorted(r["len"] for r in buckets.bucketed(df, "avg", 2**61).collect()) == [1, 1]
+
+
+def historical(rows, width, drop, by_series):
+    """(newest time, oldest time, total, number) of the buckets, row by row. rows: (series, ts, value)."""
+    newest = {}
+    for s, t, _ in rows:
+        newest[s] = max(t, newest.get(s, t))
+    order = sorted(rows, key=lambda r: (newest[r[0]], r[0], -r[1], r[2]) if by_series else (-r[1], r[2]))
+    found, open_ = [], None
+    for _, t, v in order:
+        if open_ and (t > open_[0] or open_[0] - t > width):
+            found.append(tuple(open_))
+            open_ = None
+            if drop:
+                continue
+        if open_ is None:
+            open_ = [t, t, 0.0, 0]
+        open_ = [open_[0], t, open_[2] + v, open_[3] + 1]
+    return sorted(found + ([tuple(open_)] if open_ else []))
+
+
+@pytest.mark.parametrize("drop", [False, True])
+@pytest.mark.parametrize("by_series", [False, True])
+def test_historical_modes_equal_the_fold(spark, drop, by_series):
+    rng = np.random.default_rng(13)
+    rows = {g: [(s, int(t), float(rng.integers(0, 9))) for s in range(3) for t in rng.choice(1000, 60, replace=False)] for g in ("x", "y")}
+    df = spark.createDataFrame([(g, *r) for g, own in rows.items() for r in own], "group STRING, series_id BIGINT, ts_ns BIGINT, value DOUBLE")
+    got = buckets.bucketed(df, "sum", 25, boundary="drop" if drop else "keep", order="series" if by_series else "time").collect()
+    for g, own in rows.items():
+        assert sorted((r["end"], r["start"], r["value"], r["len"]) for r in got if r["group"] == g) == historical(own, 25, drop, by_series)
