@@ -16,14 +16,16 @@ from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
 from chronoloom.errors import InvalidQuery, StorageError
 from chronoloom.functions.duration import timestamp
-from chronoloom.functions.names import MetricName, check_tags, is_metric_name, series_key_column
-from chronoloom.operators.staging import staged
+from chronoloom.functions.names import MetricName, check_tags, is_metric_name, parse_tags_column, series_key_column
+from chronoloom.operators.staging import dimension, join_dimension, staged
 from chronoloom.plans.query import Options, Query, month_of
 
 POINTS = "series_id BIGINT, ts_ns BIGINT, value DOUBLE, ingest_seq BIGINT, metric STRING, time_bucket STRING"
 SERIES = "series_id BIGINT, metric STRING, series_key STRING, tags MAP<STRING,STRING>"
 POINTS_IN = "metric STRING, ts_ns BIGINT, value DOUBLE, tags MAP<STRING,STRING>, ingest_seq BIGINT"
 
+#: Points of a file, about.
+FILE_POINTS = 4_000_000
 #: Points a database in hyper mode holds on the driver before it writes them on its own.
 BUFFERED_POINTS = 1_000_000
 
@@ -126,27 +128,31 @@ class Database:
         if self.path is None:
             raise StorageError("a database over DataFrames is read-only")
         seq = F.col("ingest_seq") if "ingest_seq" in df.columns else F.lit(timestamp())
-        keyed = df.select("metric", "ts_ns", "value", F.coalesce("tags", F.create_map().cast("map<string,string>")).alias("tags"), seq.cast("long").alias("ingest_seq"))
-        keyed = staged(keyed.withColumn("series_key", series_key_column(F.col("metric"), F.col("tags"))).withColumn("series_id", F.xxhash64("series_key")))
+        given = df.select("metric", "ts_ns", "value", F.coalesce("tags", F.create_map().cast("map<string,string>")).alias("tags"), seq.cast("long").alias("ingest_seq"))
         odd_tag = F.exists(F.map_entries("tags"), lambda e: (e["key"] == "") | e["key"].rlike("[;:]") | e["value"].isNull() | e["value"].contains(";"))
-        good = F.col("metric").isNotNull() & is_metric_name(F.col("metric")) & (F.col("ts_ns") >= 0) & F.col("value").isNotNull() & ~odd_tag
-        refused = keyed.where(~F.coalesce(good, F.lit(False))).limit(1).collect()
+        good = is_metric_name(F.col("metric")) & (F.col("ts_ns") >= 0) & F.col("value").isNotNull() & ~odd_tag
+        key = series_key_column(F.col("metric"), F.col("tags"))
+        keyed = staged(given.select("metric", "ts_ns", "value", "ingest_seq", key.alias("series_key"), F.coalesce(good, F.lit(False)).alias("good")))
+        refused = keyed.where("NOT good").limit(1).collect()
         if refused:
             raise InvalidQuery(f"refused point: {refused[0].asDict()}")
+        keyed = keyed.withColumn("series_id", F.xxhash64("series_key"))
         self._register(keyed)
         points = keyed.select("series_id", "ts_ns", "value", "ingest_seq", "metric", month_of(F.col("ts_ns")).alias("time_bucket"))
         self._append(_laid_out(points), "points")
 
     def _register(self, keyed: DataFrame) -> None:
         """Add the series that are not known yet; ids are hashes, so two keys of one id are refused."""
-        fresh = keyed.select("series_id", "metric", "series_key", "tags").dropDuplicates(["series_key"])
         known = self.spark.read.schema(SERIES).parquet(self._at("series")).select("series_key", "series_id")
-        fresh = staged(fresh.join(known.select("series_key"), "series_key", "left_anti").select("series_id", "metric", "series_key", "tags"))
+        fresh = dimension(keyed.select("series_id", "metric", "series_key").distinct().join(known.select("series_key"), "series_key", "left_anti"))
+        if not fresh.limit(1).count():
+            return
         both = known.unionByName(fresh.select("series_key", "series_id")).join(fresh.select("series_id"), "series_id", "left_semi")
         if both.groupBy("series_id").agg(F.countDistinct("series_key").alias("keys")).where("keys > 1").limit(1).count():
             raise StorageError("two series have the same id")
-        if fresh.limit(1).count():
-            self._append(fresh, "series")
+        # the text form of checked tags is unambiguous, so the map comes from it
+        tags = parse_tags_column(F.regexp_replace("series_key", "^[^#]*#", ""))
+        self._append(fresh.select("series_id", "metric", "series_key", tags.alias("tags")), "series")
 
     def compact(self, to: str) -> Database:
         """A database at ``to`` with one row per series and time, sorted within its files."""
@@ -190,10 +196,13 @@ class Database:
 def _laid_out(points: DataFrame) -> DataFrame:
     """Points as their files shall hold them: a folder per metric and month, newest first within a series.
 
-    A month of a metric goes to eight tasks by series and to as many more by day, so no task gets all of it.
+    The rows of each folder are counted; a folder gets one file for about every ``FILE_POINTS`` of them, cut
+    by series and day, so neither many small files come about nor a task that writes a whole large month.
     """
-    day = F.expr("ts_ns div 86400000000000 % 8")
-    spread = points.repartition("metric", "time_bucket", F.pmod("series_id", F.lit(8)), day)
+    sizes = points.groupBy("metric", "time_bucket").agg(F.ceil(F.count("*") / F.lit(FILE_POINTS)).alias("files"))
+    cut = join_dimension(points, dimension(sizes), ["metric", "time_bucket"], F.col("ts_ns"))
+    cut = cut.withColumn("file", F.expr("pmod(xxhash64(series_id, ts_ns div 86400000000000), files)"))
+    spread = cut.repartition("metric", "time_bucket", "file").drop("files", "file")
     return spread.sortWithinPartitions("metric", "time_bucket", "series_id", F.desc("ts_ns"))
 
 
