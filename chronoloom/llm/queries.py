@@ -10,25 +10,36 @@ from chronoloom.operators.staging import dimension, staged
 from chronoloom.sources.tables import table
 
 
-def _tag_groups(spark: SparkSession, folder: str) -> DataFrame:
-    """``series_id, metric_name, group_by, group_value, group_id`` of the sample metrics' saved queries."""
-    samples = table(spark, folder, "metric_info").where("kind = 'sample'").select(F.col("metric").alias("metric_name"))
-    pairs = table(spark, folder, "query_specs").select("metric_name", "group_by").distinct().join(samples, "metric_name", "left_semi")
+def _tag_groups(spark: SparkSession, folder: str, kind: str | None) -> DataFrame:
+    """``series_id, metric_name, group_by, group_value, group_id`` of the saved queries, of one kind of metric or of all."""
+    pairs = table(spark, folder, "query_specs").select("metric_name", "group_by").distinct()
+    if kind is not None:
+        of_kind = table(spark, folder, "metric_info").where(F.col("kind") == kind).select(F.col("metric").alias("metric_name"))
+        pairs = pairs.join(of_kind, "metric_name", "left_semi")
     tagged = table(spark, folder, "series").select("series_id", F.col("metric").alias("metric_name"), F.explode("tags").alias("group_by", "group_value"))
     found = tagged.join(pairs, ["metric_name", "group_by"], "left_semi").where("group_value IS NOT NULL")
     return found.withColumn("group_id", F.to_json(F.struct("metric_name", "group_by", "group_value")))
 
 
-def _selected(spark: SparkSession, folder: str, wanted: tuple[float, ...]) -> DataFrame:
-    groups = dimension(_tag_groups(spark, folder))
+def _selected(spark: SparkSession, folder: str, wanted: tuple[float, ...], kind: str | None = "sample") -> DataFrame:
+    groups = dimension(_tag_groups(spark, folder, kind))
     pieces = staged(percentiles.reading_pieces(table(spark, folder, "points"), groups.select("series_id").distinct()))
     chosen = percentiles.multi_select(pieces, groups, wanted)
     names = groups.select("group_id", "metric_name", "group_by", "group_value").distinct()
     return chosen.join(names, "group_id")
 
 
+PERCENTILES = (0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
+
+
+def p2_percentiles_all(spark: SparkSession, folder: str) -> DataFrame:
+    """Percentiles of every saved pair of metric and tag, whatever the metric's kind."""
+    return _selected(spark, folder, PERCENTILES, None).select("metric_name", "group_by", "group_value", "percentile", "value", "n")
+
+
 def p2_percentiles(spark: SparkSession, folder: str) -> DataFrame:
-    return _selected(spark, folder, (0.05, 0.25, 0.5, 0.75, 0.95, 0.99)).select("metric_name", "group_by", "group_value", "percentile", "value", "n")
+    """The part of :func:`p2_percentiles_all` its SQL states: metrics of kind sample."""
+    return _selected(spark, folder, PERCENTILES).select("metric_name", "group_by", "group_value", "percentile", "value", "n")
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -142,4 +153,4 @@ FROM numbered GROUP BY series_id, run HAVING count(*) >= 3
     "p3_found": _RUNS + "SELECT series_id, min(ts_ns) AS start_ns, max(ts_ns) AS end_ns FROM numbered GROUP BY series_id, run HAVING count(*) >= 3",
 }
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_percentiles, p3_found, p3_runs, p7_found, p7_leaks, p8_found, p8_mixture, p8_shares, p9_found, p9_residue, p9_clean)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_percentiles, p2_percentiles_all, p3_found, p3_runs, p7_found, p7_leaks, p8_found, p8_mixture, p8_shares, p9_found, p9_residue, p9_clean)}

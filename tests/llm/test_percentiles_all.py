@@ -1,0 +1,28 @@
+import sys
+from pathlib import Path
+
+sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
+from tables import assert_equal_to_sql, needs_tables  # noqa: E402
+
+from chronoloom.llm import queries  # noqa: E402
+
+
+@needs_tables
+def test_percentiles_of_every_kind_of_metric(spark):
+    """Against SQL over all pairs of the saved queries, of whatever kind."""
+    sql = """
+        WITH newest AS (
+          SELECT series_id, ts_ns, arg_max(coalesce(value, 'nan'::DOUBLE), ingest_seq) AS value FROM points GROUP BY 1, 2
+        ),
+        members AS (
+          SELECT s.series_id, p.metric_name, p.group_by, s.t.value AS group_value
+          FROM (SELECT series_id, metric, unnest(map_entries(tags)) AS t FROM series) s
+          JOIN (SELECT DISTINCT metric_name, group_by FROM query_specs) p ON s.metric = p.metric_name AND s.t.key = p.group_by
+        ),
+        grouped AS (
+          SELECT metric_name, group_by, group_value, list_sort(list(value)) AS sorted, count(*) AS n
+          FROM newest JOIN members USING (series_id) WHERE NOT isnan(value) GROUP BY 1, 2, 3
+        )
+        SELECT metric_name, group_by, group_value, percentile, sorted[greatest(1, ceil(percentile * n))::BIGINT] AS value, n
+        FROM grouped, (SELECT unnest([0.05, 0.25, 0.5, 0.75, 0.95, 0.99])::DOUBLE AS percentile)"""
+    assert_equal_to_sql(spark, queries.QUERIES["p2_percentiles_all"], sql)
