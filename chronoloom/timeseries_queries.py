@@ -13,12 +13,19 @@ def _of_kind(spark: SparkSession, folder: str, kind: str) -> DataFrame:
     return shards.kind_of_series(table(spark, folder, "series"), table(spark, folder, "metric_info"), kind)
 
 
-def _rolled(spark: SparkSession, folder: str) -> DataFrame:
+def _rolled(spark: SparkSession, folder: str, from_day: int | None = None) -> DataFrame:
     readings = shards.current_readings(table(spark, folder, "points"), _of_kind(spark, folder, "count"))
-    return rolling.rolling_totals(staged(rolling.build_trees(rolling.daily_totals(readings))))
+    return rolling.rolling_totals(staged(rolling.build_trees(rolling.daily_totals(readings))), from_day=from_day)
+
+
+def p1_rolling_all(spark: SparkSession, folder: str) -> DataFrame:
+    """Every day from a series' first to its last, with all averages. Days before the first count as idle."""
+    means = [F.round(f"mean_{p}", 6).alias(f"mean_{p}") for p in (7, 30)]
+    return _rolled(spark, folder, from_day=0).select("series_id", "day_no", "total_7", "n_7", "per_day_7", "total_30", "n_30", "per_day_30", *means)
 
 
 def p1_rolling(spark: SparkSession, folder: str) -> DataFrame:
+    """The part of :func:`p1_rolling_all` its SQL states: days with 30 days of history, one average."""
     return _rolled(spark, folder).select("series_id", "day_no", "total_7", "n_7", "total_30", "n_30", F.round("mean_30", 6).alias("mean_30"))
 
 
@@ -110,4 +117,4 @@ SELECT series_id, cell * step_ns AS start_ns FROM grid ANTI JOIN cells USING (se
     "p6_found": _STATES + "SELECT key_name, key_value FROM keyed GROUP BY 1, 2 HAVING count(*) * 50 >= (SELECT count(*) FROM points)",
 }
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_rolling, p4_found, p4_flags, p5_found, p5_grid, p6_found, p6_states)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_rolling, p1_rolling_all, p4_found, p4_flags, p5_found, p5_grid, p6_found, p6_states)}
