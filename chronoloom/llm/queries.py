@@ -51,9 +51,15 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return wide.where((F.col("n") >= 500) & (F.col("p99") > 10 * F.col("p50"))).select("metric_name", "group_by", "group_value")
 
 
-def p3_runs(spark: SparkSession, folder: str) -> DataFrame:
+def p3_runs_all(spark: SparkSession, folder: str) -> DataFrame:
+    """Every run as one event; a reading that repeats nothing is a run of 1."""
     described = shards.kind_of_series(table(spark, folder, "series"), table(spark, folder, "metric_info"), "state")
-    return runs.collapse_runs(table(spark, folder, "points"), described).where("n >= 3")
+    return runs.collapse_runs(table(spark, folder, "points"), described)
+
+
+def p3_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """The part of :func:`p3_runs_all` its SQL states: runs of at least 3 readings."""
+    return p3_runs_all(spark, folder).where("n >= 3")
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -153,4 +159,4 @@ FROM numbered GROUP BY series_id, run HAVING count(*) >= 3
     "p3_found": _RUNS + "SELECT series_id, min(ts_ns) AS start_ns, max(ts_ns) AS end_ns FROM numbered GROUP BY series_id, run HAVING count(*) >= 3",
 }
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_percentiles, p2_percentiles_all, p3_found, p3_runs, p7_found, p7_leaks, p8_found, p8_mixture, p8_shares, p9_found, p9_residue, p9_clean)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_percentiles, p2_percentiles_all, p3_found, p3_runs, p3_runs_all, p7_found, p7_leaks, p8_found, p8_mixture, p8_shares, p9_found, p9_residue, p9_clean)}

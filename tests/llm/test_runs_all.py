@@ -1,0 +1,16 @@
+import sys
+from pathlib import Path
+
+sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
+from tables import assert_equal_to_sql, needs_tables  # noqa: E402
+
+from chronoloom.llm import queries  # noqa: E402
+
+
+@needs_tables
+def test_single_readings_and_pairs_are_events_too(spark):
+    """Against SQL without the least length."""
+    sql = queries._RUNS + """
+        SELECT series_id, min(ts_ns) AS start_ns, max(ts_ns) AS end_ns, count(*) AS n, arg_min(value, ts_ns) AS value, max(ts_ns) - min(ts_ns) AS duration_ns
+        FROM numbered GROUP BY series_id, run"""
+    assert_equal_to_sql(spark, queries.QUERIES["p3_runs_all"], sql)
