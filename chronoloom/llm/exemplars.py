@@ -10,6 +10,7 @@ from __future__ import annotations
 #: Words of which filler text is made.
 FILLER_WORDS = (
     "lorem ipsum dolor dolorum sit amet consectetur adipiscing elit sed velit quir dale pulvo vox teras fasta plina ulla ovar minque cirun rutem setam nobe "
+    "eiusmod tempor incididunt labore dolore aliqua veniam nostrud ullamco laboris aliquip consequat voluptate cillum fugiat excepteur occaecat cupidatat proident deserunt mollit laborum "
     "foo asdf qwer qwerty blah xxxxx xxxx xxx tbd lipsum"
 ).split()
 
@@ -401,6 +402,24 @@ permita los scripts para abrir <any>
 доступ до <path> закрито
 доступ до <path> заборонено
 код <id>
+sivua ei löytynyt
+sivua <path> ei löytynyt
+sivua <path> ei ole olemassa
+tiedostoa <path> ei löytynyt
+pääsy estetty
+pääsy kielletty
+jokin meni pieleen
+tapahtui odottamaton virhe
+istuntosi on vanhentunut
+kirjaudu sisään uudelleen
+yritä myöhemmin uudelleen
+palvelu ei ole juuri nyt käytettävissä
+palvelin ei ole juuri nyt käytettävissä
+tämä sivu vaatii javascriptin
+tämä sivusto tarvitsee javascriptiä
+ota javascript käyttöön selaimessasi
+salli javascript selaimessasi
+<slot>
 """
 
 #: Passages that only speak of such things.

@@ -38,10 +38,13 @@ CLASS_WEIGHT = {"<n>": 0.3, "<id>": 0.6, "<path>": 0.5, "<any>": 0.0}
 _FILLER = frozenset(FILLER_WORDS)
 _SCRIPT = frozenset(SCRIPT_WORDS)
 _SLOT = re.compile(
-    r"(?:\{\{[^{}]{0,80}\}\}|\{%[^{}]{0,80}%\}|\$\{[^{}]{0,80}\}|%\([a-z_ ]{1,40}\)s|%[a-z_]{2,40}%|##[a-z_ ]{1,40}##|__[a-z][a-z_ ]{0,40}?__|@@[a-z_ ]{1,40}@@"
-    r"|\[\[[^\[\]]{1,80}\]\]|<%[^<>]{0,80}%>|<insert [^<>]{1,80}>|\[(?!sic\])[a-z]+(?: [a-z]+){0,3}\]|\{[0-9]{1,2}\})+",
+    r"(?:\{\{[^{}]*\}\}|\{%[^{}]*%\}|\$\{[^{}]*\}|%\([a-z_ ]{1,40}\)s|%[a-z_]{2,40}%|##[a-z_ ]{1,40}##|__[a-z][a-z_ ]{0,40}?__|@@[a-z_ ]{1,40}@@"
+    r"|\[\[[^\[\]]+\]\]|<%[^<>]*%>|<insert [^<>]+>|\[(?!sic\])[a-z]+(?: [a-z]+){0,3}\]|\{[0-9]{1,2}\})+",
     re.IGNORECASE,
 )
+#: Placeholders that ordinary text does not use, so that one alone is residue unless it is quoted.
+_SURE_SLOT = re.compile(r"(?:\{\{[^{}]*\}\}|\{%[^{}]*%\}|\$\{[^{}]*\}|%\([a-z_ ]{1,40}\)s|##[a-z_ ]{1,40}##|@@[a-z_ ]{1,40}@@|<%[^<>]*%>|<insert [^<>]+>)+", re.IGNORECASE)
+_QUOTES = frozenset("`\"'“”„‘’‚«»‹›")
 #: Every placeholder has one of these signs.
 _SLOT_SIGN = re.compile(r"[{\[%#@<]|__")
 _TAG = re.compile(r"</?(?!noscript|slot>)[a-z][a-z0-9]{0,15}(?: [^<>]{0,200})?/?>", re.IGNORECASE)
@@ -52,6 +55,14 @@ _CODE = re.compile(r"(?=[0-9a-f]*[0-9])(?=[0-9a-f]*[a-f])[0-9a-f]{6,16}$|[0-9a-f
 _SENTENCE = re.compile(r"[.!?;]+(?=\s|$)|[\r\n]+")
 
 
+def unquoted_slot(text: str) -> bool:
+    """Whether a text holds a placeholder, sure to be one, that is not put in quotes."""
+    plain = html.unescape(text) if "&" in text else text
+    if not plain.isascii():
+        plain = UNSEEN.sub("", plain)
+    return any(not (plain[m.start() - 1 : m.start()] in _QUOTES and plain[m.end() : m.end() + 1] in _QUOTES) for m in _SURE_SLOT.finditer(plain))
+
+
 def residue_tokens(text: str | None) -> list[str]:
     """Tokens of a text with placeholders, numbers, codes, paths and filler words by class."""
     if not text:
@@ -141,6 +152,8 @@ class ExemplarIndex:
         self.containment = containment
         self.vocabulary = Vocabulary(exemplars)
         self.labels = [label for _, label in exemplars]
+        #: exemplars that are a placeholder alone
+        self.single = frozenset(i for i, (passage, _) in enumerate(exemplars) if passage == "<slot>")
         self.lengths: list[int] = []
         self.weights: list[dict[tuple[str, ...], tuple[int, float]]] = []
         self.mass: list[float] = []
@@ -205,6 +218,8 @@ class ExemplarIndex:
         if not tokens:
             return None
         found = self.candidates(tokens)
+        if any(i in self.single for i in found) and not unquoted_slot(text):
+            found = [i for i in found if i not in self.single]
         if not any(self.labels[i] for i in found):
             return None
         windows = [(c, a, b, i) for i in found for c, a, b in self.best_window(i, tokens)]
