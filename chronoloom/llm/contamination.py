@@ -1,11 +1,13 @@
 """Evaluation items whose passages occur in documents, by pigeonhole edit matching.
 
 A passage is a window of ``span_words`` consecutive words of an item, as normalised words joined by single
-blanks. With an error budget of k edits the window is cut into k + 1 pieces of words; a text within k edits
-of the window holds at least one piece unchanged (pigeonhole). Pieces are looked up exactly in an index of
-the items' word sequences, each hit places its window on the document, and Myers' bit-parallel algorithm
-gives the least edit distance of the window to any stretch of the document around the place. Distance 0 is
-followed by an exact comparison of words, because a match of letters may begin or end inside a word.
+blanks. With an error budget of k edits the letters and blanks of the window are cut into k + 1 pieces; a
+text within k edits of the window holds at least one piece unchanged (pigeonhole), wherever its words begin
+and end, because every edit falls into one piece or between two. Pieces are found at any letter of the
+document by rolling hashes, and what lies on either side of a piece is compared with the rest of its window.
+The least sum of edits over all places is the least edit distance of the window to any stretch of the
+document. Distance 0 is followed by a comparison of word borders, because a match of letters may begin or
+end inside a word.
 
 Every document is read once, whole, where it lies: there is no shuffle of documents and no pair that does
 not share a piece. Items are taken in blocks of bounded size, each broadcast and matched against all
@@ -20,6 +22,7 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -30,6 +33,10 @@ ERROR_BUDGET = 2
 #: Words of the items of one block at most (an item that is larger is a block by itself).
 BLOCK_WORDS = 50_000
 
+#: Bits of the hashes by which places are picked out, and the odd number that spreads them.
+HASH_BITS = 22
+_MIX = 0x9E3779B97F4A7C15
+
 _FOUND = "doc_id bigint, item_id bigint, distance int, exact boolean"
 
 
@@ -95,8 +102,68 @@ def piece_bounds(span_words: int, budget: int) -> list[tuple[int, int]]:
     return list(zip(cuts, cuts[1:]))
 
 
+def _rolling_hashes(text: str, most: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(size, hash of the letters at each place) for sizes 1, 2, 4 and on up to ``most``."""
+    held = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64) * np.uint64(_MIX)
+    size, factor = 1, _MIX
+    while size <= most and len(held):
+        yield size, (held ^ (held >> np.uint64(29))) * np.uint64(_MIX) >> np.uint64(64 - HASH_BITS)
+        held = held[:-size] * np.uint64(factor) + held[size:]
+        size, factor = 2 * size, factor * factor % (1 << 64)
+
+
+class LetterIndex:
+    """Exact index of the pieces of letters of all windows of a block of items."""
+
+    def __init__(self, items: list[tuple[int, list[str]]], span_words: int, budget: int):
+        self.budget = budget
+        #: size -> first letters of a piece -> (piece, item, window, where the piece is in it)
+        self.pieces: dict[int, dict[str, list[tuple[str, int, str, int]]]] = defaultdict(dict)
+        for key, words in items:
+            for window in {" ".join(words[i : i + span_words]) for i in range(len(words) - span_words + 1)}:
+                for a, b in piece_bounds(len(window), budget):
+                    size = 1 << ((b - a).bit_length() - 1)
+                    self.pieces[size].setdefault(window[a : a + size], []).append((window[a:b], key, window, a))
+        self.marks: dict[int, np.ndarray] = {}
+        for size, heads in self.pieces.items():
+            self.marks[size] = np.zeros(1 << HASH_BITS, dtype=bool)
+            for head in heads:
+                self.marks[size][[h[0] for n, h in _rolling_hashes(head, size) if n == size]] = True
+
+    def matches(self, words: list[str]) -> Iterator[tuple[int, int, bool]]:
+        """(item, distance, exact) for each item with a window within the budget."""
+        text = " ".join(words)
+        bordered = f" {text} "
+        best: dict[int, tuple[int, bool]] = {}
+        for size, hashes in _rolling_hashes(text, max(self.marks, default=0)):
+            if size not in self.marks:
+                continue
+            for i in np.flatnonzero(self.marks[size][hashes]).tolist():
+                for piece, key, window, a in self.pieces[size].get(text[i : i + size], ()):
+                    known = best.get(key, (self.budget + 1, False))
+                    if not known[1] and text.startswith(piece, i):
+                        edits = self._edits(window, text, i, a, a + len(piece), min(self.budget, known[0]))
+                        exact = not edits and i >= a and bordered.startswith(f" {window} ", i - a)
+                        if exact or edits < known[0]:
+                            best[key] = edits, exact
+        for key, found in best.items():
+            yield key, *found
+
+    @staticmethod
+    def _edits(window: str, text: str, i: int, a: int, b: int, budget: int) -> int:
+        """Edits of a window whose letters ``a`` to ``b`` are at ``i`` of the text, or more than the budget."""
+        end = i + b - a
+        right = edits_of_prefix(window[b:], text[end : end + len(window) - b + budget], budget)
+        if right > budget:
+            return right
+        return right + edits_of_prefix(window[:a][::-1], text[max(0, i - a - budget) : i][::-1], budget - right)
+
+
 class ItemIndex:
-    """Exact index of the pieces of all windows of a block of items."""
+    """Exact index of the pieces of whole words of all windows of a block of items.
+
+    It misses texts in which words of every piece are joined or split; :class:`LetterIndex` misses none.
+    """
 
     def __init__(self, items: list[tuple[int, list[str]]], span_words: int, budget: int):
         self.items = {key: words for key, words in items if len(words) >= span_words}
@@ -195,7 +262,7 @@ def leaked_items(
         shared = spark.sparkContext.broadcast(block)
 
         def match(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = ItemIndex(shared.value, span_words, error_budget)
+            index = LetterIndex(shared.value, span_words, error_budget)
             for batch in batches:
                 rows = [
                     (doc, *hit)
