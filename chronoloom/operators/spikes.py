@@ -45,6 +45,9 @@ STILL = 0.005
 #: Readings of a stuck stretch at least, and how many times the series' other stretches it must be.
 STUCK_READINGS = 10
 STUCK_TIMES = 2.0
+#: Which quantile of a series' stretches is its usual one, and how many of the longest are left out at least.
+USUAL = 0.99
+OWN = 2
 
 FEATURES = (
     "series_id bigint, shard bigint, ts_ns bigint, prev_ns bigint, value double, step double, residual double, "
@@ -178,13 +181,27 @@ def still_parts(still: DataFrame) -> DataFrame:
     return border.unionByName(inner).select("series_id", "shard", "start_ns", "end_ns", "steps", "run", "n")
 
 
-def stuck_parts(parts: DataFrame) -> DataFrame:
-    """The parts whose stretch is far longer than the series otherwise keeps a value.
+def usual_stretches(parts: DataFrame, readings: DataFrame) -> DataFrame:
+    """``series_id, usual``: the ``USUAL`` quantile of the lengths of all stretches of each series.
 
-    "Otherwise" is the longest stretch that is shorter than ``STUCK_READINGS``: the series' ordinary ones.
+    ``readings`` has ``series_id, n_readings``. A reading that repeats none is a stretch of 1. Lengths are counted per
+    series, which merges by addition; the ``OWN`` longest are left out, so that in a series of few stretches a stuck
+    one is not its own measure.
     """
-    usual = parts.groupBy("series_id").agg(F.coalesce(F.max(F.when(F.col("n") < STUCK_READINGS, F.col("n"))), F.lit(2)).alias("usual"))
+    whole = parts.where("run IS NULL").select("series_id", "n").unionByName(parts.where("run IS NOT NULL").select("series_id", "run", "n").distinct().drop("run"))
+    counts = whole.groupBy("series_id", "n").agg(F.count("*").alias("times"))
+    held = counts.groupBy("series_id").agg(F.sum(F.col("n") * F.col("times")).alias("held"))
+    single = readings.join(held, "series_id", "left").select("series_id", F.lit(1).cast("long").alias("n"), (F.col("n_readings") - F.coalesce("held", F.lit(0))).alias("times"))
+    up = W.partitionBy("series_id").orderBy("n")
+    ranked = counts.unionByName(single).withColumn("upto", F.sum("times").over(up)).withColumn("all", F.sum("times").over(W.partitionBy("series_id")))
+    rank = F.least(F.ceil(F.col("all") * USUAL), F.col("all") - OWN)
+    return ranked.groupBy("series_id").agg(F.coalesce(F.min(F.when(F.col("upto") >= F.greatest(rank, F.lit(1)), F.col("n"))), F.lit(1)).alias("usual"))
+
+
+def stuck_parts(parts: DataFrame, readings: DataFrame) -> DataFrame:
+    """The parts whose stretch is far longer than the series otherwise keeps a value (:func:`usual_stretches`)."""
     candidates = parts.where(F.col("n") >= STUCK_READINGS)
+    usual = usual_stretches(parts, readings)
     return join_dimension(candidates, dimension(usual), "series_id", F.col("start_ns")).where(F.col("n") >= F.col("usual") * STUCK_TIMES)
 
 
@@ -208,7 +225,8 @@ def implausible(points: DataFrame, gauges: DataFrame) -> DataFrame:
     single = alone.where("reason IS NOT NULL").select("series_id", "ts_ns", "value", "reason")
 
     still = judged.where(F.abs("step") <= F.col("series_iqr") * STILL).select("series_id", "shard", "ts_ns", "prev_ns", "carried")
-    stuck = stuck_parts(staged(still_parts(still)))
+    readings = features.groupBy("series_id").agg(F.count("*").alias("n_readings"))
+    stuck = stuck_parts(staged(still_parts(still)), readings)
     return single.unionByName(_members(features, stuck)).groupBy("series_id", "ts_ns").agg(
         F.max("value").alias("value"), F.min_by("reason", F.when(F.col("reason") == "physical", 0).when(F.col("reason") == "rate", 1).otherwise(2)).alias("reason")
     )
