@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from chronoloom.operators.shards import latest, plan_shards, sharded, starts_of, whole_shards
+from chronoloom.operators.shards import latest, plan_shards, sharded, starts_of, valid_points, whole_shards
 from chronoloom.operators.staging import dimension, join_dimension, staged
 
 #: Half width of the kernel in steps.
@@ -68,16 +68,15 @@ def _pack(bandwidth: float, min_support: float):
                 continue
             first = np.flatnonzero(starts_of(block["series_id"], block["shard"]))
             rows = np.cumsum(starts_of(block["series_id"], block["shard"])) - 1
-            step, origin, width, shard = (block[c][first] for c in ("step_ns", "origin_ns", "width_ns", "shard"))
-            cells = width // step
-            begin_ns = origin + shard * width
+            step, begin_ns, end_ns = (block[c][first] for c in ("step_ns", "shard", "end_ns"))
+            cells = (end_ns - begin_ns) // step
             starts = np.r_[0, np.cumsum(cells)]
             inner = block["ts_ns"] - begin_ns[rows]
             at = inner / step[rows]
             usable = np.isfinite(block["value"])
             base = np.stack([starts[rows], cells[rows]])
             fits, support = _fit(at[usable], block["value"][usable], base[:, usable], int(starts[-1]), bandwidth, min_support)
-            own = (inner >= 0) & (inner < width[rows])
+            own = (inner >= 0) & (inner < (cells * step)[rows])
             slot = starts[rows[own]] + inner[own] // step[rows[own]]
             counts = np.bincount(slot, minlength=starts[-1]).astype(np.int32)
             full = np.flatnonzero(counts)
@@ -92,7 +91,7 @@ def _pack(bandwidth: float, min_support: float):
             ]
             series = block["series_id"][first]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(series), pa.array(shard), pa.array(begin_cell), *ends, pa.array(step), *lists], [x.split()[0] for x in _PACKED.split(", ")]
+                [pa.array(series), pa.array(begin_ns), pa.array(begin_cell), *ends, pa.array(step), *lists], [x.split()[0] for x in _PACKED.split(", ")]
             )
 
     return pack
@@ -108,7 +107,7 @@ def regular_grid(points: DataFrame, gauges: DataFrame, bandwidth: float = BANDWI
     """
     reach = int(np.ceil(bandwidth + 0.5))
     known = gauges.select("series_id", F.col("step_ns").cast("long").alias("step_ns"))
-    plan = plan_shards(points, known, step="step_ns", halo_steps=reach, most_steps=SHARD_CELLS)
+    plan = plan_shards(valid_points(points), known, step="step_ns", halo_steps=reach, most_steps=SHARD_CELLS)
     packed = staged(sharded(points, plan, ["step_ns"], halo=True).mapInArrow(_pack(bandwidth, min_support), _PACKED))
     bounds = dimension(packed.groupBy("series_id").agg(F.min("first_cell").alias("low"), F.max("last_cell").alias("high")).where("low IS NOT NULL"))
     bounded = join_dimension(packed, bounds, "series_id", F.col("shard")).where("begin_cell <= high AND begin_cell + size(counts) > low")

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from chronoloom.operators.shards import latest, plan_shards, sharded, starts_of, whole_shards
+from chronoloom.operators.shards import latest, plan_shards, sharded, starts_of, valid_points, whole_shards
 from chronoloom.operators.staging import dimension, join_dimension, staged
 
 #: Readings looked at on either side; a brief excursion must be shorter than half of it.
@@ -50,7 +50,7 @@ USUAL = 0.99
 OWN = 2
 
 FEATURES = (
-    "series_id bigint, shard bigint, ts_ns bigint, prev_ns bigint, value double, step double, residual double, "
+    "series_id bigint, shard bigint, ts_ns bigint, prev_ns bigint, value double, prev double, residual double, "
     "off_left double, off_right double, lo double, hi double, carried boolean"
 )
 
@@ -85,28 +85,26 @@ def _features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         right = _side_median(value, ts, possible, first, block["halo_ns"], True)
         with np.errstate(invalid="ignore", over="ignore"):
             centre = np.where(np.isnan(left), right, np.where(np.isnan(right), left, (left + right) / 2))
-            step = np.r_[np.nan, np.diff(value)]
-            prev = np.r_[-1, ts[:-1]]
-            step[first], prev[first] = np.nan, -1
+            before, prev = np.r_[np.nan, value[:-1]], np.r_[-1, ts[:-1]]
+            before[first], prev[first] = np.nan, -1
             residual = value - centre
             residual[~possible | ~np.isfinite(residual)] = np.nan
             off_left, off_right = value - left, value - right
-        begin = block["origin_ns"] + block["shard"] * block["width_ns"]
-        own = (ts >= begin) & (ts - begin < block["width_ns"])
-        carried = (prev >= 0) & (prev < begin)
-        columns = [block["series_id"], block["shard"], ts, prev, value, step, residual, off_left, off_right, block["lo"], block["hi"], carried]
+        own = (ts >= block["shard"]) & (ts < block["end_ns"])
+        carried = (prev >= 0) & (prev < block["shard"])
+        columns = [block["series_id"], block["shard"], ts, prev, value, before, residual, off_left, off_right, block["lo"], block["hi"], carried]
         # NaN in these columns means "none"
         yield pa.RecordBatch.from_arrays([pa.array(c[own], from_pandas=c.dtype == float) for c in columns], [x.split()[0] for x in FEATURES.split(", ")])
 
 
 def reading_features(points: DataFrame, gauges: DataFrame) -> DataFrame:
-    """One row per reading of the gauges with its step, residual and distance from either side's median.
+    """One row per reading of the gauges with the value before it, its residual and distance from either side's median.
 
     ``gauges`` has ``series_id, lo, hi, step_ns``. One shuffle of the points by (series, time shard); the
     shards carry a halo of ``HALO_STEPS`` steps.
     """
     known = gauges.select("series_id", F.col("lo").cast("double"), F.col("hi").cast("double"), "step_ns")
-    plan = plan_shards(points, known, step="step_ns", halo_steps=HALO_STEPS)
+    plan = plan_shards(valid_points(points), known, step="step_ns", halo_steps=HALO_STEPS)
     return sharded(points, plan, ["lo", "hi", "halo_ns"], halo=True).mapInArrow(_features, FEATURES)
 
 
@@ -155,9 +153,9 @@ def fences(sketches: DataFrame) -> DataFrame:
 
 
 def still_parts(still: DataFrame) -> DataFrame:
-    """Parts of stretches chained by small steps: ``series_id, shard, start_ns, end_ns, steps, run, n``.
+    """Parts of stretches chained by small steps: ``series_id, shard, start_ns, start, end_ns, carried, run, n``.
 
-    ``still`` has ``series_id, shard, ts_ns, prev_ns, carried`` of the readings whose step from the one
+    ``still`` has ``series_id, shard, ts_ns, prev_ns, prev, carried`` of the readings whose step from the one
     before (at ``prev_ns``; ``carried``: in an earlier shard) is small. Chains are built within shards.
     Only the few parts that meet at a shard border are stitched over a whole series; ``run`` numbers the
     stretches of a series and ``n`` is the readings of the whole stretch.
@@ -166,7 +164,8 @@ def still_parts(still: DataFrame) -> DataFrame:
     numbered = still.withColumn("fresh", (~F.lag("ts_ns").over(within).eqNullSafe(F.col("prev_ns"))).cast("int")).withColumn("chain", F.sum("fresh").over(within))
     parts = staged(
         numbered.groupBy("series_id", "shard", "chain").agg(
-            F.min("prev_ns").alias("start_ns"), F.max("ts_ns").alias("end_ns"), F.count("*").alias("steps"), F.max("carried").alias("carried")
+            F.min("prev_ns").alias("start_ns"), F.min_by("prev", "prev_ns").alias("start"), F.max("ts_ns").alias("end_ns"),
+            F.count("*").alias("steps"), F.max("carried").alias("carried"),
         )
     )
     met = parts.where("carried").select("series_id", F.col("start_ns").alias("end_ns"), F.lit(True).alias("goes_on"))
@@ -178,7 +177,7 @@ def still_parts(still: DataFrame) -> DataFrame:
         .withColumn("n", F.sum("steps").over(W.partitionBy("series_id", "run")) + 1)
     )
     inner = marked.where("NOT carried AND NOT goes_on").withColumn("run", F.lit(None).cast("long")).withColumn("n", F.col("steps") + 1)
-    return border.unionByName(inner).select("series_id", "shard", "start_ns", "end_ns", "steps", "run", "n")
+    return border.unionByName(inner).select("series_id", "shard", "start_ns", "start", "end_ns", "carried", "run", "n")
 
 
 def usual_stretches(parts: DataFrame, readings: DataFrame) -> DataFrame:
@@ -224,7 +223,7 @@ def implausible(points: DataFrame, gauges: DataFrame) -> DataFrame:
     alone = judged.withColumn("reason", F.when(F.coalesce(impossible, F.lit(False)), "physical").when(F.coalesce(away, F.lit(False)), "rate"))
     single = alone.where("reason IS NOT NULL").select("series_id", "ts_ns", "value", "reason")
 
-    still = judged.where(F.abs("step") <= F.col("series_iqr") * STILL).select("series_id", "shard", "ts_ns", "prev_ns", "carried")
+    still = judged.where(F.abs(F.col("value") - F.col("prev")) <= F.col("series_iqr") * STILL).select("series_id", "shard", "ts_ns", "prev_ns", "prev", "carried")
     readings = features.groupBy("series_id").agg(F.count("*").alias("n_readings"))
     stuck = stuck_parts(staged(still_parts(still)), readings)
     return single.unionByName(_members(features, stuck)).groupBy("series_id", "ts_ns").agg(
@@ -235,11 +234,10 @@ def implausible(points: DataFrame, gauges: DataFrame) -> DataFrame:
 def _members(features: DataFrame, stuck: DataFrame) -> DataFrame:
     """The readings inside stuck stretches, matched shard by shard: a shard has a bounded number of parts.
 
-    The first reading of a part may lie in the shard before its own.
+    The first reading of a carried part lies in an earlier shard; the part itself has its time and value.
     """
-    spans = dimension(
-        stuck.withColumn("shard", F.explode(F.array("shard", F.col("shard") - 1)))
-        .groupBy("series_id", "shard").agg(F.collect_list(F.struct("start_ns", "end_ns")).alias("spans"))
-    )
+    spans = dimension(stuck.groupBy("series_id", "shard").agg(F.collect_list(F.struct("start_ns", "end_ns")).alias("spans")))
     inside = F.exists("spans", lambda s: (F.col("ts_ns") >= s["start_ns"]) & (F.col("ts_ns") <= s["end_ns"]))
-    return join_dimension(features, spans, ["series_id", "shard"], F.col("ts_ns")).where(inside).select("series_id", "ts_ns", "value", F.lit("stuck").alias("reason"))
+    reason = F.lit("stuck").alias("reason")
+    within = join_dimension(features, spans, ["series_id", "shard"], F.col("ts_ns")).where(inside).select("series_id", "ts_ns", "value", reason)
+    return within.unionByName(stuck.where("carried").select("series_id", F.col("start_ns").alias("ts_ns"), F.col("start").alias("value"), reason))
