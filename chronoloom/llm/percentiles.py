@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from chronoloom.operators.shards import latest, plan_shards, sharded, starts_of, whole_shards
+from chronoloom.operators.shards import latest, plan_shards, sharded, starts_of, valid_points, whole_shards
 from chronoloom.operators.staging import dimension, join_dimension, unstage
 
 #: Values of a piece at most.
@@ -57,7 +57,7 @@ def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def reading_pieces(points: DataFrame, ids: DataFrame) -> DataFrame:
     """Pieces ``series_id, vals, n`` of the current readings of the series in ``ids``."""
-    plan = plan_shards(points, ids.select("series_id"))
+    plan = plan_shards(valid_points(points), ids.select("series_id"))
     return sharded(points, plan, []).mapInArrow(_cut, _PIECES)
 
 

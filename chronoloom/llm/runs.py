@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from chronoloom.operators.shards import latest, plan_shards, sharded, starts_of, whole_shards
+from chronoloom.operators.shards import latest, plan_shards, sharded, starts_of, valid_points, whole_shards
 from chronoloom.operators.staging import staged
 
 _NAMES = ["series_id", "start_ns", "end_ns", "n", "first", "last", "tolerance", "open", "fresh"]
@@ -130,7 +130,7 @@ def collapse_runs(
         raise ValueError(f"compare must be 'previous' or 'anchor', not {compare!r}")
     anchored = compare == "anchor"
     known = described.select("series_id", F.coalesce(F.col("tolerance").cast("double"), F.lit(0.0)).alias("tolerance"))
-    plan = plan_shards(points, known, target_rows=target_rows)
+    plan = plan_shards(valid_points(points), known, target_rows=target_rows)
     partial = staged(sharded(points, plan, ["tolerance"]).mapInArrow(_shard_runs(anchored, max_gap_ns), _PARTIAL))
     whole = partial.where("NOT open").select(
         "series_id", "start_ns", "end_ns", "n", F.col("first").alias("value"), (F.col("end_ns") - F.col("start_ns")).alias("duration_ns")
