@@ -4,11 +4,14 @@ Within a group, from the newest point back, a point joins the open bucket while
 than the bucket's newest point; the first one that is older opens the next bucket. So the ends of the buckets
 are the orbit of ``e -> newest time before e - width``, which no fixed window expresses.
 
-Lossless mode (the default) cuts a group into time shards. The orbit enters a shard at a limit handed on by
-the newer shard, and all limits come from a small table: each shard states, for every time at which a bucket
-could first end in it, at which limit the orbit leaves it. Following these tables takes one short pass over
-the shards of a group, after which the shards are bucketed independently, so a group may hold any number of
-points. Groups of one shard skip all that.
+Lossless mode (the default) cuts a group into shards of about equal rows, whatever the width of a bucket. One
+shuffle on (group, shard) serves the last write of each series and time, the order and the buckets, of which
+only partial aggregates leave a shard. The orbit enters a shard at a limit handed on by a newer one: each shard
+of a group that has several states at which limit the orbit leaves it for every time at which it could enter.
+Where these tables are small beside the rows (buckets much narrower than shards) one pass follows them shard by
+shard. Where they are not (a bucket covers many shards) there are few buckets: then the limits are found in
+rounds, each of which looks up one shard per group, and the shards in between, which lie in one bucket, are
+not looked at. Groups of one shard skip all that.
 
 ``boundary="drop"`` loses the point that closes a bucket, and ``order="series"`` reads the series of a group
 one after the other, the one whose newest point is oldest first. These two follow single rows and stream a
@@ -18,17 +21,26 @@ group through one task in constant memory; they exist for comparison with the hi
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from dataclasses import replace
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from chronoloom.errors import InvalidQuery
-from chronoloom.operators.shards import TARGET_ROWS, starts_of, whole_shards
-from chronoloom.operators.staging import dimension, join_dimension, staged
+from chronoloom.operators.shards import TARGET_ROWS, ShardPlan, located, plan_shards, starts_of, whole_shards
+from chronoloom.operators.staging import dimension, join_dimension, known_rows, staged, with_known_rows
 
 AGGREGATES = ("avg", "sum", "min", "max", "count")
 _KEYS = ("group_no", "shard")
+#: A round of looking up costs about as much as following so many entries of tables.
+ROUND_ENTRIES = 100_000
+#: What stands for "no limit".
+_NO_LIMIT = -(1 << 63)
+
+_TABLES = "group_no bigint, shard bigint, oldest bigint, n_entries bigint, entries array<bigint>, exits array<bigint>"
+_PARTIAL = "group_no bigint, bucket_end bigint, start bigint, len bigint, total double, least double, most double"
 
 
 def aggregate(name: str, value: str = "value") -> Column:
@@ -78,22 +90,55 @@ def bucket_ends(ts: np.ndarray, width: int, limit: int | None) -> np.ndarray:
     return ordered[np.searchsorted(ordered, ts, "left")]
 
 
-def _offer(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each shard, the possible first bucket ends and the limits at which they leave it."""
+def _current(block: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Of sorted writes, the last one of each (group, shard, time, series), unless it has no value."""
+    last = np.ones(len(block["ts_ns"]), dtype=bool)
+    last[:-1] = np.logical_or.reduce([block[c][1:] != block[c][:-1] for c in ("group_no", "shard", "ts_ns", "series_id")])
+    keep = last & block["known"]
+    return {name: column[keep] for name, column in block.items()}
+
+
+def _blocks(batches: Iterable[pa.RecordBatch], writes: bool) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray]]:
+    """Whole shards of points as NumPy columns, and the rows at which a shard begins."""
     for block in whole_shards(batches, keys=_KEYS):
-        begin = np.flatnonzero(starts_of(block["group_no"], block["shard"]))
-        rows = []
-        for a, b in zip(begin, np.r_[begin[1:], len(block["ts_ns"])]):
-            ts = np.unique(block["ts_ns"][a:b])
-            width = int(block["width_ns"][a])
-            exits = exit_limits(ts, width)
-            # an orbit enters no earlier than one bucket's width before the shard's upper bound
-            low = max(0, int(np.searchsorted(ts, block["until_ns"][a] - width, "left")) - 1)
-            entries, exits = ts[low:], exits[low:]
-            keep = np.r_[True, exits[1:] != exits[:-1]]
-            rows.append((int(block["group_no"][a]), int(block["shard"][a]), int(ts[0]), entries[keep].tolist(), exits[keep].tolist()))
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["group_no", "shard", "oldest", "entries", "exits"])
+        block = _current(block) if writes else block
+        if len(block["ts_ns"]):
+            yield block, np.flatnonzero(starts_of(block["group_no"], block["shard"]))
+
+
+def _offer(width: int, writes: bool):
+    """Of each shard, the possible first bucket ends and the limits at which they leave it."""
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, begin in _blocks(batches, writes):
+            head, sizes, lists = [], [0], []
+            for a, b in zip(begin, np.r_[begin[1:], len(block["ts_ns"])]):
+                ts = np.unique(block["ts_ns"][a:b])
+                exits = exit_limits(ts, width)
+                # an orbit enters no earlier than one bucket's width before the shard's upper bound
+                low = max(0, int(np.searchsorted(ts, block["end_ns"][a] - width, "left")) - 1)
+                entries, exits = ts[low:], exits[low:]
+                keep = np.r_[True, exits[1:] != exits[:-1]]
+                head.append((int(block["group_no"][a]), int(block["shard"][a]), int(ts[0]), int(keep.sum())))
+                sizes.append(int(keep.sum()))
+                lists.append((entries[keep], exits[keep]))
+            offsets = pa.array(np.cumsum(sizes).astype(np.int32))
+            columns = [pa.array(c, pa.int64()) for c in zip(*head)] + [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x))) for x in zip(*lists)]
+            yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in _TABLES.split(", ")])
+
+    return work
+
+
+def _lists(column: pa.Array) -> Iterator[np.ndarray]:
+    flat = column.flatten().to_numpy()
+    ends = np.r_[0, np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))]
+    return (flat[a:b] for a, b in zip(ends, ends[1:]))
+
+
+def _leave(entries: np.ndarray, exits: np.ndarray, limit: int | None) -> int:
+    """The limit at which an orbit that comes in at ``limit`` leaves a shard."""
+    at = len(entries) - 1 if limit is None else int(np.searchsorted(entries, limit, "left")) - 1
+    return int(exits[max(at, 0)])
 
 
 def _follow(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,61 +146,118 @@ def _follow(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     group, limit = None, None
     for batch in batches:
         rows = []
-        for number, shard, oldest, entries, exits in zip(*(c.to_pylist() for c in batch.columns)):
+        numbers, shards, oldest = (batch.column(c).to_pylist() for c in ("group_no", "shard", "oldest"))
+        for number, shard, first, entries, exits in zip(numbers, shards, oldest, _lists(batch.column("entries")), _lists(batch.column("exits"))):
             if number != group:
                 group, limit = number, None
             rows.append((number, shard, limit))
-            if limit is None or oldest < limit:
-                at = len(entries) - 1 if limit is None else int(np.searchsorted(entries, limit, "left")) - 1
-                limit = exits[max(at, 0)]
+            if limit is None or first < limit:
+                limit = _leave(entries, exits, limit)
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["group_no", "shard", "limit_ns"])
 
 
-def _assign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in whole_shards(batches, keys=_KEYS):
-        begin = np.flatnonzero(starts_of(batch["group_no"], batch["shard"]))
-        ends = np.empty(len(batch["ts_ns"]), dtype=np.int64)
-        for a, b in zip(begin, np.r_[begin[1:], len(ends)]):
-            distinct, back = np.unique(batch["ts_ns"][a:b], return_inverse=True)
-            limit = None if batch["limit_ns"][a] < 0 else int(batch["limit_ns"][a])
-            ends[a:b] = bucket_ends(distinct, int(batch["width_ns"][a]), limit)[back]
-        columns = [batch["group_no"], batch["ts_ns"], batch["value"], ends]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["group_no", "ts_ns", "value", "bucket_end"])
-
-
-def plan_groups(points: DataFrame, width_ns: int, target_rows: int = TARGET_ROWS) -> DataFrame:
-    """``group, group_no, first_ns, shard_ns, last_shard, width_ns`` of each group: its number and its shards."""
-    if width_ns >= 1 << 61:  # wider than any cut could be: every group is one shard
-        target_rows = 1 << 62
-    sizes = points.groupBy("group").agg(F.count("*").alias("n"), F.min("ts_ns").alias("first_ns"), F.max("ts_ns").alias("last_ns"))
-    spread = F.floor(F.least(F.lit(2.0**62), (F.col("last_ns") - F.col("first_ns")) / F.ceil(F.col("n") / F.lit(target_rows)))) + 1
-    return dimension(
-        sizes.withColumn("shard_ns", F.greatest(spread, F.lit(min(2 * width_ns + 1, 1 << 62))).cast("long"))
-        .withColumn("last_shard", F.expr("(last_ns - first_ns) div shard_ns"))
-        .select("group", F.monotonically_increasing_id().alias("group_no"), "first_ns", "shard_ns", "last_shard", F.lit(width_ns).cast("long").alias("width_ns"))
-    )
-
-
-def assign_lossless(points: DataFrame, plan: DataFrame) -> DataFrame:
-    """``group_no, ts_ns, value, bucket_end`` from ``group, ts_ns, value`` (a stored table) and its plan."""
-    cut = join_dimension(points, plan, "group", F.col("ts_ns")).withColumn("shard", F.expr("(ts_ns - first_ns) div shard_ns"))
-    if plan.where("last_shard > 0").limit(1).count():
-        until = F.expr(f"coalesce(try_add(first_ns, try_multiply(shard + 1, shard_ns)), {(1 << 63) - 1})")
-        large = cut.where("last_shard > 0").select("group_no", "shard", "ts_ns", "width_ns", until.alias("until_ns"))
-        offered = (
-            large.repartition("group_no", "shard").sortWithinPartitions("group_no", "shard", "ts_ns")
-            .mapInArrow(_offer, "group_no bigint, shard bigint, oldest bigint, entries array<bigint>, exits array<bigint>")
-        )
-        followed = offered.repartition("group_no").sortWithinPartitions("group_no", F.desc("shard"))
-        limits = staged(followed.mapInArrow(_follow, "group_no bigint, shard bigint, limit_ns bigint"))
+def _look_up(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The limits at which the orbits that come in at ``limit_ns`` leave the one shard given per group."""
+    for batch in batches:
+        limits = batch.column("limit_ns").to_pylist()
+        exits = [_leave(a, b, x) for a, b, x in zip(_lists(batch.column("entries")), _lists(batch.column("exits")), limits)]
+        yield pa.RecordBatch.from_arrays([batch.column("group_no"), batch.column("shard"), pa.array(exits, pa.int64())], ["group_no", "shard", "limit_ns"])
+
+
+def _limits(tables: DataFrame, width_ns: int) -> DataFrame:
+    """``group_no, shard, limit_ns`` of every shard of ``tables``; null: no newer bucket reaches below the shard's points."""
+    groups = tables.groupBy("group_no").agg(F.sum("n_entries").alias("n"), F.count("*").alias("shards"), F.min("oldest").alias("low"), F.max("shard").alias("high"))
+    # a round passes at least one bucket and one shard of each group
+    rounds = F.least((F.col("high") - F.col("low")) / F.lit(max(width_ns, 1)) + 2, F.col("shards"))
+    dense = dimension(groups.where(F.col("n") > rounds * ROUND_ENTRIES).select("group_no"))
+    none = F.lit(None).cast("long")
+    if not dense.limit(1).count():
+        return _followed(tables)
+    plain = join_dimension(tables, dense.withColumn("dense", F.lit(True)), "group_no", F.col("shard"), "left").where("dense IS NULL").drop("dense")
+    state = dense.withColumns({"shard": F.lit((1 << 63) - 1), "limit_ns": none})
+    visits: list[DataFrame] = []
+    heads = tables.select("group_no", F.col("shard").alias("next"), "oldest")
+    while True:
+        # the newest shard below the last one that has points below the limit
+        met = join_dimension(heads, state, "group_no", F.col("next")).where("next < shard AND (limit_ns IS NULL OR oldest < limit_ns)")
+        asked = met.groupBy("group_no").agg(F.max("next").alias("shard"), F.first("limit_ns").alias("limit_ns"))
+        found = tables.join(asked, ["group_no", "shard"]).select("group_no", "shard", "limit_ns", "entries", "exits")
+        state = dimension(found.mapInArrow(_look_up, "group_no bigint, shard bigint, limit_ns bigint"))
+        if not state.limit(1).count():
+            break
+        visits.append(state)
+    known = reduce(DataFrame.unionByName, visits).withColumn("exit_ns", F.col("limit_ns")).select("group_no", "shard", "exit_ns")
+    down = W.partitionBy("group_no").orderBy(F.desc("shard")).rowsBetween(W.unboundedPreceding, -1)
+    passed = join_dimension(heads.withColumnRenamed("next", "shard"), dense, "group_no", F.col("shard")).join(known, ["group_no", "shard"], "left")
+    through = passed.select("group_no", "shard", F.last("exit_ns", ignorenulls=True).over(down).alias("limit_ns"))
+    return through.unionByName(_followed(plain))
+
+
+def _followed(tables: DataFrame) -> DataFrame:
+    ordered = tables.repartition("group_no").sortWithinPartitions("group_no", F.desc("shard"))
+    return ordered.mapInArrow(_follow, "group_no bigint, shard bigint, limit_ns bigint")
+
+
+def _assign(width: int, writes: bool):
+    """Partial aggregates of the buckets of each shard, in the order of their newest times."""
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, begin in _blocks(batches, writes):
+            ends = np.empty(len(block["ts_ns"]), dtype=np.int64)
+            for a, b in zip(begin, np.r_[begin[1:], len(ends)]):
+                distinct, back = np.unique(block["ts_ns"][a:b], return_inverse=True)
+                limit = None if block["limit_ns"][a] == _NO_LIMIT else int(block["limit_ns"][a])
+                ends[a:b] = bucket_ends(distinct, width, limit)[back]
+            at = np.flatnonzero(starts_of(block["group_no"], block["shard"], ends))
+            value = block["value"]
+            with np.errstate(invalid="ignore", over="ignore"):
+                folds = [np.add.reduceat(value, at), np.fmin.reduceat(value, at), np.fmax.reduceat(value, at)]
+            columns = [block["group_no"][at], ends[at], block["ts_ns"][at], np.diff(np.r_[at, len(ends)]), *folds]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [x.split()[0] for x in _PARTIAL.split(", ")])
+
+    return work
+
+
+def plan_groups(points: DataFrame, target_rows: int = TARGET_ROWS) -> tuple[DataFrame, ShardPlan]:
+    """``group, group_no`` of each group, and its shards (the plan's keys have ``group`` too)."""
+    plan = plan_shards(points.select("group", "ts_ns"), key="group", target_rows=target_rows)
+    keys = dimension(plan.keys.withColumn("group_no", F.monotonically_increasing_id()))  # numbers that stay
+    return with_known_rows(keys.select("group", "group_no"), known_rows(keys)), replace(plan, keys=keys)
+
+
+def fold_lossless(points: DataFrame, plan: ShardPlan, width_ns: int, writes: bool) -> DataFrame:
+    """Partial aggregates ``group_no, bucket_end, start, len, total, least, most`` of the buckets of each shard.
+
+    ``points`` has ``group, series_id, ts_ns, value, ingest_seq, known``.
+    """
+    order = ["group_no", "shard", "ts_ns", *(["series_id", "ingest_seq", "value"] if writes else [])]
+
+    def in_shards(rows: DataFrame) -> DataFrame:
+        return rows.repartition("group_no", "shard").sortWithinPartitions(*order)
+
+    cut = located(points, plan).select("group_no", "shard", "end_ns", "last_ns", "series_id", "ts_ns", "ingest_seq", "value", "known")
+    several = plan.keys.where("last_ns - origin_ns >= width_ns OR recut")
+    if several.limit(1).count():
+        wanted = dimension(several.select("group", F.lit(True).alias("several")))
+        large = located(join_dimension(points, wanted, "group", F.col("ts_ns")), plan).select("group_no", "shard", "end_ns", "series_id", "ts_ns", "ingest_seq", "known", "value")
+        tables = staged(in_shards(large).mapInArrow(_offer(width_ns, writes), _TABLES))
+        limits = staged(_limits(tables, width_ns))
         cut = join_dimension(cut, limits, ["group_no", "shard"], F.col("ts_ns"), "left")
     else:
         cut = cut.withColumn("limit_ns", F.lit(None).cast("long"))
-    # a handed-on limit is never negative: a shard reaches further than a bucket is wide
-    ready = cut.select("group_no", "shard", "ts_ns", "value", "width_ns", F.coalesce("limit_ns", F.lit(-1)).alias("limit_ns"))
-    ordered = ready.repartition("group_no", "shard").sortWithinPartitions("group_no", "shard", "ts_ns")
-    return ordered.mapInArrow(_assign, "group_no bigint, ts_ns bigint, value double, bucket_end bigint")
+    ready = cut.select("group_no", "shard", "series_id", "ts_ns", "ingest_seq", "value", "known", F.coalesce("limit_ns", F.lit(_NO_LIMIT)).alias("limit_ns"))
+    return in_shards(ready).mapInArrow(_assign(width_ns, writes), _PARTIAL)
+
+
+def merged(agg: str) -> Column:
+    """The value of a bucket from the partial aggregates of its shards; as :func:`aggregate` has it."""
+    known = {c: F.when(~F.isnan(c), F.col(c)) for c in ("least", "most")}
+    values = {
+        "count": F.sum("len").cast("double"), "sum": F.sum("total"), "avg": F.sum("total") / F.sum("len"),
+        "min": F.coalesce(F.min(known["least"]), F.lit(float("nan"))), "max": F.coalesce(F.max(known["most"]), F.lit(float("nan"))),
+    }
+    return values[agg]
 
 
 def _fold(width: int, drop: bool):
@@ -194,7 +296,7 @@ def _fold(width: int, drop: bool):
 
 
 def assign_streamed(points: DataFrame, width_ns: int, drop: bool, by_series: bool) -> DataFrame:
-    """Like :func:`assign_lossless` for the historical modes; ``points`` also has ``series_id``.
+    """``group_no, ts_ns, value, bucket_end`` in the historical modes, from ``group_no, series_id, ts_ns, value``.
 
     ``bucket_end`` only tells buckets of a group apart here.
     """
@@ -216,31 +318,47 @@ def bucketed(
     boundary: str = "keep",
     order: str = "time",
     single: bool = False,
+    writes: bool = False,
     target_rows: int = TARGET_ROWS,
 ) -> DataFrame:
     """``group, start, end, value, len`` from points ``group, series_id, ts_ns, value``.
 
     ``start`` and ``end`` are the times of the oldest and newest point of the bucket. Rows with a null group
-    or value are no points; NaN values are. ``single`` says that one bucket holds each group, which needs no
-    assignment at all.
+    or value are no points; NaN values are. ``writes`` says that the rows are writes with ``ingest_seq``: the last one
+    of a series and time is the point (:func:`last_writes`). ``single`` says that one bucket holds each group, which
+    needs no assignment at all.
     """
     if width_ns < 0:
         raise InvalidQuery("the width of buckets cannot be negative")
-    result = [F.min("ts_ns").alias("start"), F.max("ts_ns").alias("end"), aggregate(agg).alias("value"), F.count(F.lit(1)).alias("len")]
-    points = points.where("group IS NOT NULL AND value IS NOT NULL AND ts_ns IS NOT NULL")
     if boundary not in ("keep", "drop") or order not in ("time", "series"):
         raise InvalidQuery("boundary is 'keep' or 'drop', order is 'time' or 'series'")
-    if single and boundary == "keep" and order == "time":
+    value = aggregate(agg).alias("value")
+    result = [F.min("ts_ns").alias("start"), F.max("ts_ns").alias("end"), value, F.count(F.lit(1)).alias("len")]
+    points = points.where("group IS NOT NULL AND ts_ns IS NOT NULL")
+    lossless = boundary == "keep" and order == "time"
+    if lossless and not single:
+        seq = F.col("ingest_seq") if writes else F.lit(0)
+        rows = points.select("group", "series_id", "ts_ns", F.col("value").cast("double").alias("value"), seq.cast("long").alias("ingest_seq"), F.col("value").isNotNull().alias("known"))
+        rows = rows if writes else rows.where("known")
+        names, plan = plan_groups(rows, target_rows)
+        folded = fold_lossless(rows, plan, width_ns, writes).groupBy("group_no", "bucket_end")
+        folded = folded.agg(F.min("start").alias("start"), merged(agg).alias("value"), F.sum("len").alias("len")).withColumnRenamed("bucket_end", "end")
+        return join_dimension(folded, names, "group_no", F.col("end")).select("group", "start", "end", "value", "len")
+    points = last_writes(points) if writes else points.where("value IS NOT NULL")
+    if lossless:
         return points.groupBy("group").agg(*result)
     points = staged(points)
-    plan = plan_groups(points, width_ns, target_rows)
-    if boundary == "keep" and order == "time":
-        assigned = assign_lossless(points.select("group", "ts_ns", "value"), plan)
-    else:
-        numbered = join_dimension(points, plan, "group", F.col("ts_ns")).select("group_no", "series_id", "ts_ns", "value")
-        assigned = assign_streamed(numbered, width_ns, boundary == "drop", order == "series")
-    folded = assigned.groupBy("group_no", "bucket_end").agg(*result)
-    return join_dimension(folded, plan, "group_no", F.col("end")).select("group", "start", "end", "value", "len")
+    names = dimension(points.select("group").distinct().select("group", F.monotonically_increasing_id().alias("group_no")))
+    numbered = join_dimension(points, names, "group", F.col("ts_ns")).select("group_no", "series_id", "ts_ns", "value")
+    folded = assign_streamed(numbered, width_ns, boundary == "drop", order == "series").groupBy("group_no", "bucket_end").agg(*result)
+    return join_dimension(folded, names, "group_no", F.col("end")).select("group", "start", "end", "value", "len")
+
+
+def last_writes(writes: DataFrame) -> DataFrame:
+    """``group, series_id, ts_ns, value``: of the writes of a series and time the one with the highest ``ingest_seq``
+    (of equal ones the greatest value, null the least); if it is null there is no point."""
+    newest = F.max(F.struct("ingest_seq", "value")).getField("value").alias("value")
+    return writes.groupBy("group", "series_id", "ts_ns").agg(newest).where("value IS NOT NULL")
 
 
 def middle() -> Column:

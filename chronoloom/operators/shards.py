@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from chronoloom.operators.staging import dimension, join_dimension
+from chronoloom.operators.staging import dimension, join_dimension, known_rows, with_known_rows
 
 #: Rows of a shard that are aimed at.
 TARGET_ROWS = 1 << 16
@@ -119,8 +119,8 @@ def plan_shards(
         named = cut[0].select(key).distinct().withColumn("recut", F.lit(True))
         keys = dimension(keys.join(named, key, "left").withColumn("recut", F.coalesce("recut", F.lit(False))))
     else:
-        keys = keys.select("*", F.lit(False).alias("recut"))
-    return ShardPlan(key, keys.drop("n", "first_ns", "least_ns"), tuple(cut))
+        keys = with_known_rows(keys.select("*", F.lit(False).alias("recut")), known_rows(keys))
+    return ShardPlan(key, with_known_rows(keys.drop("n", "first_ns", "least_ns"), known_rows(keys)), tuple(cut))
 
 
 def _begin(time: str) -> str:

@@ -80,10 +80,20 @@ def dimension(df: DataFrame) -> DataFrame:
     if size <= LOCAL_INPUT_BYTES:
         found = df.limit(LOCAL_ROWS + 1).toArrow()
         if found.num_rows <= LOCAL_ROWS:
-            local = df.sparkSession.createDataFrame(found, df.schema)
-            local.known_rows = found.num_rows
-            return local
-    return staged(df)
+            return with_known_rows(df.sparkSession.createDataFrame(found, df.schema), found.num_rows)
+    written = staged(df)
+    return with_known_rows(written, written.count())
+
+
+def with_known_rows(df: DataFrame, rows: int | None) -> DataFrame:
+    """Note how many rows ``df`` has, so that joins need not count them."""
+    df.known_rows = rows
+    return df
+
+
+def known_rows(df: DataFrame) -> int | None:
+    """The noted number of rows; None if it was never counted."""
+    return getattr(df, "known_rows", None) if "known_rows" not in df.columns else None
 
 
 def join_dimension(
@@ -96,7 +106,7 @@ def join_dimension(
     a key) and the dimension is repeated once per slice, so no task gets a whole hot key.
     """
     on = [on] if isinstance(on, str) else list(on)
-    known = getattr(dimension, "known_rows", None)
+    known = known_rows(dimension)
     if known <= most if isinstance(known, int) else is_small(dimension, most):
         return facts.join(F.broadcast(dimension), on, how)
     left = facts.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("int"))

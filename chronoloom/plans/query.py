@@ -11,9 +11,12 @@ from chronoloom.errors import InvalidQuery
 from chronoloom.functions.duration import minutes, timestamp
 from chronoloom.functions.names import MetricName
 from chronoloom.operators import buckets
-from chronoloom.operators.staging import dimension, join_dimension, staged
+from chronoloom.operators.staging import dimension, join_dimension, known_rows, staged
 from chronoloom.plans.filters import parse_filter
 
+#: Series up to which their ids go to the scan.
+FEW_SERIES = 500
+
 
 @dataclass(frozen=True)
 class Bucket:
@@ -86,7 +89,7 @@ class Query:
         """``series_id, group`` of the series the filter selects that have the group tag."""
         node = parse_filter(self.filter_text, self.options.sets)
         chosen = node.to_column(F.col("tags"))
-        if self.options.not_scope == "metric" or "!" not in (self.filter_text or ""):
+        if self.within_metric():
             chosen = (F.col("metric") == MetricName(self.metric)) & chosen
         elif self.options.not_scope != "db":
             raise InvalidQuery("not_scope is 'metric' or 'db'")
@@ -94,11 +97,12 @@ class Query:
         found = self.series.where(chosen & F.col("series_id").isNotNull()).select("series_id", group.alias("group"))
         return found.where("group IS NOT NULL").dropDuplicates(["series_id"])
 
-    def matching_points(self, chosen: DataFrame | None = None) -> DataFrame:
-        """``group, series_id, ts_ns, value``: the last write of each series and time, within the bounds.
+    def matching_writes(self, chosen: DataFrame) -> DataFrame:
+        """``group, series_id, ts_ns, value, ingest_seq``: the writes to the chosen series within the bounds.
 
-        Bounds go to the scan as they are; where ``time_bucket`` is known to be the month of ``ts_ns``
-        (``exact_months``), the months outside the bounds are not listed either.
+        Bounds go to the scan as they are. In a store of this package (``exact_months``) a point's folders are its
+        series' metric and the month of ``ts_ns``, so other metrics and the months outside the bounds are not listed,
+        and the ids of a few series go to the scan too, in whose files points are sorted by them.
         """
         rows = self.points
         if self.start_ns is not None:
@@ -109,11 +113,22 @@ class Query:
             for bound, keep in ((self.start_ns, lambda m: F.col("time_bucket") >= m), (self.end_ns, lambda m: F.col("time_bucket") <= m)):
                 if bound is not None:
                     rows = rows.where(keep(month_of(F.lit(bound).cast("long"))))
+            if self.within_metric():
+                rows = rows.where(F.col("metric") == self.metric)
+            if (known_rows(chosen) or 0) <= FEW_SERIES:
+                rows = rows.where(F.col("series_id").isin([row["series_id"] for row in chosen.select("series_id").collect()]))
         rows = rows.select("series_id", "ts_ns", "value", "ingest_seq").where("series_id IS NOT NULL AND ts_ns >= 0")
-        joined = join_dimension(rows, dimension(self.matching_series()) if chosen is None else chosen, "series_id", F.col("ts_ns"))
-        latest = joined.groupBy("group", "series_id", "ts_ns").agg(F.max(F.struct("ingest_seq", "value")).getField("value").alias("value"))
+        joined = join_dimension(rows, chosen, "series_id", F.col("ts_ns"))
         value = F.col("value").cast("float").cast("double") if self.options.single_precision else F.col("value").cast("double")
-        return latest.where("value IS NOT NULL").withColumn("value", value)
+        return joined.select("group", "series_id", "ts_ns", value.alias("value"), "ingest_seq")
+
+    def matching_points(self) -> DataFrame:
+        """``group, series_id, ts_ns, value``: the last write of each series and time, within the bounds."""
+        return buckets.last_writes(self.matching_writes(dimension(self.matching_series())))
+
+    def within_metric(self) -> bool:
+        """Whether only series of the query's metric can match."""
+        return self.options.not_scope == "metric" or "!" not in (self.filter_text or "")
 
     def one_bucket(self) -> bool:
         """Whether the bounds alone show that each group is a single bucket."""
@@ -121,18 +136,17 @@ class Query:
 
     def to_df(self) -> DataFrame:
         """``group, start, end, value, len``. Groups without points have no row."""
+        return self._buckets(dimension(self.matching_series()))
+
+    def _buckets(self, chosen: DataFrame) -> DataFrame:
         o = self.options
-        result = buckets.bucketed(self.matching_points(), self.agg, self.width_ns, boundary=o.boundary, order=o.order, single=self.one_bucket())
+        result = buckets.bucketed(self.matching_writes(chosen), self.agg, self.width_ns, boundary=o.boundary, order=o.order, single=self.one_bucket(), writes=True)
         return result.withColumn("value", F.col("value").cast("float").cast("double")) if o.single_precision else result
 
     def build(self) -> Groups:
         """The groups of the result, to be read one by one."""
-        parse_filter(self.filter_text, self.options.sets)
         chosen = dimension(self.matching_series())
-        o = self.options
-        points = self.matching_points(chosen)
-        result = buckets.bucketed(points, self.agg, self.width_ns, boundary=o.boundary, order=o.order, single=self.one_bucket())
-        return Groups(staged(result), chosen)
+        return Groups(staged(self._buckets(chosen)), chosen)
 
     def collect(self) -> dict[str, list[Bucket]]:
         """All groups with their buckets, newest first; groups without points have an empty list."""

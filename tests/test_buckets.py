@@ -30,16 +30,19 @@ def test_ends_equal_the_fold(times, width):
         assert limit == at - width
 
 
-@pytest.mark.parametrize("local_bytes", [512 << 20, -1])
-def test_many_shards_per_group(spark, monkeypatch, local_bytes):
+@pytest.mark.parametrize("local_bytes, round_entries", [(512 << 20, 100_000), (-1, 100_000), (512 << 20, 1), (-1, 1)])
+def test_many_shards_per_group(spark, monkeypatch, local_bytes, round_entries):
     monkeypatch.setattr(staging, "LOCAL_INPUT_BYTES", local_bytes)
+    monkeypatch.setattr(buckets, "ROUND_ENTRIES", round_entries)
     rng = np.random.default_rng(3)
-    rows = [(g, int(s), int(t), float(v)) for g, n in (("hot", 3000), ("cold", 5), ("wide", 200)) for s, t, v in zip(rng.integers(0, 3, n), rng.integers(0, 20_000 if g != "wide" else 10**12, n), rng.integers(0, 9, n))]
+    spans = {"hot": (3000, 20_000), "cold": (5, 20_000), "wide": (200, 10**12), "burst": (900, 300)}
+    rows = [(g, int(s), int(t), float(v)) for g, (n, span) in spans.items() for s, t, v in zip(rng.integers(0, 3, n), rng.integers(0, span, n), rng.integers(0, 9, n))]
+    rows += [("burst", 1, int(t), 1.0) for t in rng.integers(10**6, 10**9, 90)]
     df = spark.createDataFrame(rows + [(None, 1, 1, 1.0), ("hot", 1, 1, None)], "group STRING, series_id BIGINT, ts_ns BIGINT, value DOUBLE")
-    for width in (0, 7, 400):
+    for width in (0, 7, 400, 9000) if local_bytes > 0 else (7, 9000):
         got = {(r["group"], r["end"]): (r["start"], r["value"], r["len"]) for r in buckets.bucketed(df, "sum", width, target_rows=100).collect()}
         want = {}
-        for g in ("hot", "cold", "wide"):
+        for g in spans:
             own = [(t, v) for h, _, t, v in rows if h == g]
             ends = fold([t for t, _ in own], width)
             for t, v in own:
@@ -48,6 +51,42 @@ def test_many_shards_per_group(spark, monkeypatch, local_bytes):
         assert got == want
 
 
+DAY = 86_400_000_000_000
+
+
+@pytest.mark.parametrize("case", ["stray", "burst", "wide"])
+def test_no_shard_is_hot(spark, monkeypatch, case):
+    """One stray time, nine rows in ten within an hour, and buckets wider than half of all time."""
+    rng = np.random.default_rng(21)
+    n, target = 40_000, 2000
+    monkeypatch.setattr(buckets, "ROUND_ENTRIES", 100)
+    times = 1_700_000_000_000_000_000 + np.sort(rng.choice(58 * 86_400, n, replace=False)) * 1_000_000_000
+    if case == "burst":
+        times[: n * 9 // 10] = times[-1] + rng.integers(0, 3_600_000_000_000, n * 9 // 10)
+    if case == "stray":
+        times[0] = 0
+    df = spark.createDataFrame([("g", 1, int(t), 1.0) for t in times], "group STRING, series_id BIGINT, ts_ns BIGINT, value DOUBLE")
+    rows = df.selectExpr("*", "0L AS ingest_seq", "true AS known")
+    _, plan = buckets.plan_groups(rows, target)
+    sizes = [r["count"] for r in buckets.located(rows, plan).groupBy("group_no", "shard").count().collect()]
+    assert max(sizes) <= 2 * target and len(sizes) >= n / (2 * target)
+    width = 30 * DAY if case != "burst" else 600_000_000_000
+    got = {r["end"]: r["len"] for r in buckets.bucketed(df, "count", width, target_rows=target).collect()}
+    ends = fold(times.tolist(), width)
+    want = {}
+    for t in times.tolist():
+        want[ends[t]] = want.get(ends[t], 0) + 1
+    assert got == want
+
+
+def test_last_writes_and_nan_in_shards(spark):
+    nan = float("nan")
+    rows = [("g", 1, 5, 1.0, 1), ("g", 1, 5, 2.0, 2), ("g", 1, 5, 2.0, 2), ("g", 2, 5, 7.0, 0), ("g", 1, 6, 3.0, 1), ("g", 1, 6, None, 2), ("g", 1, 7, nan, 1), ("h", 3, 1, nan, 1)]
+    df = spark.createDataFrame(rows, "group STRING, series_id BIGINT, ts_ns BIGINT, value DOUBLE, ingest_seq BIGINT")
+    got = lambda agg: {r["group"]: (r["start"], r["end"], str(r["value"]), r["len"]) for r in buckets.bucketed(df, agg, 10, writes=True).collect()}
+    assert got("max") == {"g": (5, 7, "7.0", 3), "h": (1, 1, "nan", 1)} and got("min")["g"][2] == "2.0" and got("sum")["g"][2] == "nan"
+
+
 def test_empty_and_huge_width(spark):
     df = spark.createDataFrame([], "group STRING, series_id BIGINT, ts_ns BIGINT, value DOUBLE")
     assert buckets.bucketed(df, "avg", 5).count() == 0
