@@ -43,14 +43,16 @@ def quality_weight(score: Column) -> Column:
 
 
 def keyed_records(documents: DataFrame, *, seed: int = 0, weight: Column | None = None, tokenizer: str = TOKENIZER) -> DataFrame:
-    """``doc_id, source_key, tokens, place``: ``place`` in [0, 1) orders records as their keys do."""
+    """``doc_id, source_key, tokens, place``: ``place`` in [0, 1) orders records as their keys do.
+
+    A key k is at most 37 / 0.05, so its place ``k / (1 + k)`` stays below 1 and keys far from zero stay apart.
+    """
     w = F.lit(1.0) if weight is None else weight
     picked = documents.select(F.col("doc_id").cast("long").alias("doc_id"), plain_source("source").alias("source_key"), "text", w.cast("double").alias("weight"))
     counted = with_token_counts(picked, "text", "tokens", tokenizer)
     uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 11).cast("double") + 0.5) / float(1 << 53)
     key = -F.log(uniform) / F.col("weight")
-    # 1 - exp(-key) rises with the key and spreads the keys over [0, 1)
-    return counted.select("doc_id", "source_key", "tokens", (-F.expm1(-key)).alias("place"))
+    return counted.select("doc_id", "source_key", "tokens", (key / (key + 1)).alias("place"))
 
 
 def source_plan(records: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> DataFrame:
@@ -125,10 +127,16 @@ def _limits(records: DataFrame, plan: DataFrame) -> DataFrame:
 def actual_shares(mixed: DataFrame, plan: DataFrame) -> DataFrame:
     """Per target: ``source, target_share, actual_share, tokens, records, copies, epochs, short``.
 
-    The actual share is of the mixture's own size, 0 for an empty mixture.
+    The actual share is of the mixture's own size, 0 for an empty mixture. ``short`` is judged by the mixture as made:
+    every record of the source is in it ``max_repeats`` times, and still its tokens are less than the target share.
     """
-    got = mixed.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("tokens"), F.count("*").alias("used"), F.sum("copies").alias("copies"))
-    met = plan.select("source", "target_share", "epochs", "short").join(got, "source", "left").fillna(0, ["tokens", "used", "copies"])
+    got = mixed.groupBy("source").agg(
+        F.sum(F.col("tokens") * F.col("copies")).alias("tokens"), F.count("*").alias("used"), F.sum("copies").alias("copies")
+    )
+    planned = plan.select("source", "target_share", "max_repeats", "size", "records", "all_size", "epochs")
+    met = planned.join(got, "source", "left").fillna(0, ["tokens", "used", "copies"])
     whole = F.sum("tokens").over(W.partitionBy())
     share = F.when(whole > 0, F.col("tokens") / whole).otherwise(F.lit(0.0))
-    return met.select("source", "target_share", share.alias("actual_share"), "tokens", F.col("used").alias("records"), "copies", "epochs", "short")
+    spent = (F.col("tokens") == F.col("size") * F.col("max_repeats")) & ((F.col("copies") == F.col("records") * F.col("max_repeats")))
+    short = spent & (F.col("tokens") < F.col("target_share") * F.col("all_size"))
+    return met.select("source", "target_share", share.alias("actual_share"), "tokens", F.col("used").alias("records"), "copies", "epochs", short.alias("short"))

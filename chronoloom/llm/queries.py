@@ -89,7 +89,7 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
-    return _mix(spark, folder)[1].where("short").select("source")
+    return p8_shares(spark, folder).where("short").select("source")
 
 
 def p9_residue(spark: SparkSession, folder: str) -> DataFrame:

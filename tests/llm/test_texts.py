@@ -185,6 +185,22 @@ def test_mixture(spark, monkeypatch, ordered_rows):
         assert total <= row["budget"] and (not size or row["budget"] - total <= 31)
     shares = mixing.actual_shares(mixing.mixture(records, plan), plan).collect()
     assert abs(sum(r["actual_share"] for r in shares) - 1) < 1e-9 and len(shares) == 5
+    assert {r["source"] for r in shares if r["short"]} == {"tiny", "absent"}
+
+
+@pytest.mark.parametrize("score", [0.0, 1.0])
+def test_records_of_any_weight_fill_the_budget(spark, score):
+    """Every record can be drawn, the last ones in key order too."""
+    df = spark.range(20_000).selectExpr("id AS doc_id", "'s' AS source", "'word word word' AS text", f"{score}D AS align_score")
+    records = staged(mixing.keyed_records(df, weight=mixing.quality_weight(df["align_score"])))
+    assert records.where("place >= 1 OR place < 0").count() == 0 and records.select("place").distinct().count() == 20_000
+    targets = spark.createDataFrame([("s", 0.95, 1), ("none", 0.05, 1)], "source STRING, target_share DOUBLE, max_repeats INT")
+    plan = mixing.source_plan(records, targets)
+    row = plan.where("source = 's'").first()
+    got = mixing.mixture(records, plan).selectExpr("sum(tokens * copies)").first()[0]
+    assert row["budget"] - 3 < got <= row["budget"]
+    shares = {r["source"]: r["short"] for r in mixing.actual_shares(mixing.mixture(records, plan), plan).collect()}
+    assert shares == {"s": False, "none": True}
 
 
 def test_mixture_of_nothing(spark):
