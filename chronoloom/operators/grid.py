@@ -32,7 +32,7 @@ SHARD_CELLS = 2048
 
 _PACKED = (
     "series_id bigint, shard bigint, begin_cell bigint, first_cell bigint, last_cell bigint, step_ns bigint, "
-    "counts array<int>, fits array<double>, support array<float>"
+    "counts array<int>, fits array<double>, support array<double>"
 )
 
 
@@ -87,7 +87,7 @@ def _pack(bandwidth: float, min_support: float):
             ends = [pa.array(safe[np.minimum(x, len(safe) - 1)] - starts[:-1] + begin_cell, mask=empty) for x in (low, high)]
             offsets = pa.array(starts.astype(np.int32))
             lists = [
-                pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (counts, fits, support.astype(np.float32))
+                pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (counts, fits, support)
             ]
             series = block["series_id"][first]
             yield pa.RecordBatch.from_arrays(
@@ -121,7 +121,7 @@ def regular_grid(points: DataFrame, gauges: DataFrame, bandwidth: float = BANDWI
     hollow = (
         join_dimension(here, bounds, "series_id", F.col("b"))
         .select("series_id", "step_ns", "low", "high", F.explode(F.sequence("b", F.least(F.col("b") + (SHARD_CELLS - 1), F.col("next_cell") - 1))).alias("cell"))
-        .withColumns({"n_readings": F.lit(0), "value": F.lit(None).cast("double"), "support": F.lit(0).cast("float")})
+        .withColumns({"n_readings": F.lit(0), "value": F.lit(None).cast("double"), "support": F.lit(0.0)})
     )
     solid = bounded.select(
         "series_id", "step_ns", "low", "high", "begin_cell", F.posexplode(F.arrays_zip("counts", "fits", "support")).alias("at", "x")

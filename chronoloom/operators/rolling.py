@@ -18,6 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from chronoloom.operators.shards import valid_points
+from chronoloom.operators.staging import dimension, join_dimension, known_rows, with_known_rows
+
 #: Days of a tree; a power of two. A trailing period may reach over several trees.
 SHARD_DAYS = 32
 DAY_NS = 86_400_000_000_000
@@ -92,19 +95,10 @@ def tree_batch(like: pa.RecordBatch, sums: np.ndarray, counts: np.ndarray) -> pa
     return pa.RecordBatch.from_arrays([*keys, _lists(sums), _lists(counts), *ends], names)
 
 
-def correct_trees(trees: DataFrame, late: DataFrame) -> DataFrame:
-    """Apply late amounts ``series_id, day_no, total, n`` (n may be negative) to stored trees.
-
-    A shard with corrections gets the difference added to the leaf and to its ancestors, nothing else is
-    touched or recomputed; shards without corrections pass as they are, new shards are built. Amounts are
-    differences, so an infinite total can be added but not taken back. A day whose count has gone to zero
-    stays within ``first_day .. last_day``.
-    """
-    changes = (
-        late.where("series_id IS NOT NULL AND day_no IS NOT NULL")
-        .groupBy("series_id", "day_no")
-        .agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
-        .withColumn("shard", F.expr(f"(day_no - pmod(day_no, {SHARD_DAYS})) div {SHARD_DAYS}"))
+def _by_tree(days: DataFrame) -> DataFrame:
+    """``series_id, shard, leaves, late_first, late_last`` of day amounts ``series_id, day_no, total, n``, each day once."""
+    return (
+        days.withColumn("shard", F.expr(f"(day_no - pmod(day_no, {SHARD_DAYS})) div {SHARD_DAYS}"))
         .groupBy("series_id", "shard")
         .agg(
             F.collect_list(F.struct(F.pmod("day_no", F.lit(SHARD_DAYS)).cast("int").alias("leaf"), "total", "n")).alias("leaves"),
@@ -112,8 +106,18 @@ def correct_trees(trees: DataFrame, late: DataFrame) -> DataFrame:
             F.max("day_no").alias("late_last"),
         )
     )
-    both = trees.join(changes, ["series_id", "shard"], "full").select(
-        "series_id", "shard", "sums", "counts", "leaves",
+
+
+def _touched(trees: DataFrame, changes: DataFrame, replace: bool) -> DataFrame:
+    """The trees that ``changes`` of :func:`_by_tree` touch, with the changed leaves and their ancestors brought up to date.
+
+    With ``replace`` a leaf takes the new amounts and its ancestors are summed again from their children, otherwise the
+    amounts are differences that are added to the leaf and to each ancestor. Only touched trees are read.
+    """
+    keys = ["series_id", "shard"]
+    old = join_dimension(trees, with_known_rows(changes.select(*keys), known_rows(changes)), keys, F.col("shard"))
+    both = changes.join(old, keys, "left").select(
+        *keys, "sums", "counts", "leaves",
         F.least("first_day", "late_first").alias("first_day"), F.greatest("last_day", "late_last").alias("last_day"),
     )
 
@@ -128,20 +132,78 @@ def correct_trees(trees: DataFrame, late: DataFrame) -> DataFrame:
             counts[known] = batch.column("counts").flatten().to_numpy(zero_copy_only=False).reshape(-1, 2 * SHARD_DAYS)
             leaves = batch.column("leaves")
             flat = leaves.flatten()
-            lengths = leaves.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            row = np.repeat(np.arange(batch.num_rows), lengths)
+            row = np.repeat(np.arange(batch.num_rows), leaves.value_lengths().to_numpy(zero_copy_only=False))
             node = flat.field("leaf").to_numpy(zero_copy_only=False) + SHARD_DAYS
             total, n = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("total", "n"))
             with np.errstate(invalid="ignore"):
+                if replace:
+                    sums[row, node], counts[row, node] = total, n
+                    node = node // 2
                 while len(node) and node[0]:
-                    np.add.at(sums, (row, node), total)
-                    np.add.at(counts, (row, node), n)
+                    if replace:
+                        for nodes in (sums, counts):
+                            nodes[row, node] = nodes[row, 2 * node] + nodes[row, 2 * node + 1]
+                    else:
+                        np.add.at(sums, (row, node), total)
+                        np.add.at(counts, (row, node), n)
                     node = node // 2
-            yield tree_batch(batch, sums, counts)
+            if not replace:
+                yield tree_batch(batch, sums, counts)
+                continue
+            # days that have lost their readings are no ends of a series
+            full = counts[:, SHARD_DAYS:] > 0
+            day = batch.column("shard").to_numpy()[:, None] * SHARD_DAYS + np.arange(SHARD_DAYS)
+            keep = full.any(axis=1)
+            ends = {"first_day": np.where(full, day, np.iinfo(np.int64).max).min(axis=1), "last_day": np.where(full, day, -1).max(axis=1)}
+            held = pa.RecordBatch.from_arrays([batch.column("series_id"), batch.column("shard"), *map(pa.array, ends.values())], ["series_id", "shard", *ends])
+            yield tree_batch(held.filter(pa.array(keep)), sums[keep], counts[keep])
 
     return both.mapInArrow(climb, TREE_SCHEMA)
 
 
+def _brought_in(trees: DataFrame, days: DataFrame, replace: bool) -> DataFrame:
+    changes = dimension(_by_tree(days))
+    keys = with_known_rows(changes.select("series_id", "shard"), known_rows(changes))
+    others = join_dimension(trees, keys, ["series_id", "shard"], F.col("shard"), "left_anti")
+    return others.unionByName(_touched(trees, changes, replace))
+
+
+def correct_trees(trees: DataFrame, late: DataFrame) -> DataFrame:
+    """Apply late amounts ``series_id, day_no, total, n`` (n may be negative) to stored trees.
+
+    A tree with corrections gets the difference added to the leaf and to its ancestors, nothing else is
+    touched or recomputed; trees without corrections pass as they are and are not shuffled, new trees are built. Amounts
+    are differences, so an infinite total can be added but not taken back. A day whose count has gone to zero
+    stays within ``first_day .. last_day``.
+    """
+    known = late.where("series_id IS NOT NULL AND day_no IS NOT NULL")
+    return _brought_in(trees, known.groupBy("series_id", "day_no").agg(F.sum("total").alias("total"), F.sum("n").alias("n")), False)
+
+
+def replace_days(trees: DataFrame, days: DataFrame) -> DataFrame:
+    """Trees in which the days ``series_id, day_no, total, n`` have these amounts (a day without readings: 0 and 0).
+
+    The leaf of such a day is set and its ancestors are summed again, so overwritten and infinite readings come out as
+    if the tree had been built anew. A tree without readings goes away.
+    """
+    return _brought_in(trees, days, True)
+
+
+def days_of_late_writes(points: DataFrame, described: DataFrame, after_seq: int) -> DataFrame:
+    """``series_id, day_no, total, n``: the amounts by all writes of the days that writes after ``after_seq`` fall on.
+
+    Late points, overwritten ones and ones overwritten by null are all such writes. Only the readings of these days are
+    read for their totals.
+    """
+    ids = dimension(described.select("series_id").distinct())
+    day = F.expr(f"ts_ns div {DAY_NS}")
+    written = join_dimension(valid_points(points), ids, "series_id", F.col("ts_ns")).withColumn("day_no", day)
+    days = dimension(written.where(F.col("ingest_seq") > after_seq).select("series_id", "day_no").distinct())
+    again = join_dimension(written, days, ["series_id", "day_no"], F.col("ts_ns")).groupBy("series_id", "ts_ns")
+    readings = again.agg(F.max(F.struct("ingest_seq", "value")).getField("value").alias("value"))
+    return days.join(daily_totals(readings), ["series_id", "day_no"], "left").select("series_id", "day_no", F.coalesce("total", F.lit(0.0)).alias("total"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
 @lru_cache
 def cover(low: int, high: int) -> tuple[int, ...]:
     """Heap numbers of the fewest nodes that cover leaves ``low`` to ``high`` (inclusive)."""

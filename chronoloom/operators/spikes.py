@@ -11,7 +11,8 @@ A reading is flagged
 * ``rate`` if it lies outside the fences around its neighbourhood and has jumped to the same side from the
   median of the readings before it and from that of the readings after it: an excursion and back, which a
   lasting change of level, a trend or a daily cycle is not,
-* ``stuck`` if it belongs to a stretch of near-zero variance far longer than the series' other ones.
+* ``stuck`` if it belongs to a stretch of near-zero variance far longer than the series' other ones. Readings more
+  than ``HALO_STEPS`` nominal steps apart are in different stretches.
 
 Null and NaN values are no readings. Readings repeated at one time count once (see ``shards.latest``).
 Series without bounds (null ``lo``/``hi``) have no physical cases.
@@ -86,7 +87,9 @@ def _features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(invalid="ignore", over="ignore"):
             centre = np.where(np.isnan(left), right, np.where(np.isnan(right), left, (left + right) / 2))
             before, prev = np.r_[np.nan, value[:-1]], np.r_[-1, ts[:-1]]
-            before[first], prev[first] = np.nan, -1
+            # a stretch does not go on over a gap wider than the halo, wherever shards begin
+            alone = first | (ts - prev > block["halo_ns"])
+            before[alone], prev[alone] = np.nan, -1
             residual = value - centre
             residual[~possible | ~np.isfinite(residual)] = np.nan
             off_left, off_right = value - left, value - right

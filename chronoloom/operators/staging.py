@@ -45,6 +45,11 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Remove a path of the shared folder when the driver's Python ends."""
+    atexit.register(_remove, spark, path)
+
+
 def staged(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -54,7 +59,7 @@ def staged(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/chronoloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
+    remove_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

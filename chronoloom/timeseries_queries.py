@@ -18,10 +18,25 @@ def _rolled(spark: SparkSession, folder: str, from_day: int | None = None) -> Da
     return rolling.rolling_totals(staged(rolling.build_trees(rolling.daily_totals(readings))), from_day=from_day)
 
 
+_PERIODS = ("total_7", "n_7", "per_day_7", "total_30", "n_30", "per_day_30")
+
+
+def _with_means(rolled: DataFrame) -> DataFrame:
+    return rolled.select("series_id", "day_no", *_PERIODS, *[F.round(f"mean_{p}", 6).alias(f"mean_{p}") for p in (7, 30)])
+
+
 def p1_rolling_all(spark: SparkSession, folder: str) -> DataFrame:
     """Every day from a series' first to its last, with all averages. Days before the first count as idle."""
-    means = [F.round(f"mean_{p}", 6).alias(f"mean_{p}") for p in (7, 30)]
-    return _rolled(spark, folder, from_day=0).select("series_id", "day_no", "total_7", "n_7", "per_day_7", "total_30", "n_30", "per_day_30", *means)
+    return _with_means(_rolled(spark, folder, from_day=0))
+
+
+def p1_corrected(spark: SparkSession, folder: str) -> DataFrame:
+    """:func:`p1_rolling_all` from trees of the first nine tenths of all writes, corrected by the days of the later ones."""
+    points, counted = table(spark, folder, "points"), _of_kind(spark, folder, "count")
+    early = int((points.agg(F.max("ingest_seq")).first()[0] or 0) * 0.9)
+    trees = staged(rolling.build_trees(rolling.daily_totals(shards.current_readings(points.where(F.col("ingest_seq") <= early), counted))))
+    corrected = rolling.replace_days(trees, rolling.days_of_late_writes(points, counted, early))
+    return _with_means(rolling.rolling_totals(staged(corrected), from_day=0))
 
 
 def p1_rolling(spark: SparkSession, folder: str) -> DataFrame:
@@ -34,19 +49,31 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_flags(spark: SparkSession, folder: str) -> DataFrame:
+    """Flagged readings with their reason; an infinite value is given as null, so that both sides can be compared."""
+    finite = F.when(F.abs("value") < float("inf"), F.col("value"))
+    return _flagged(spark, folder).withColumn("value", finite)
+
+
+def _flagged(spark: SparkSession, folder: str) -> DataFrame:
     return spikes.implausible(table(spark, folder, "points"), _of_kind(spark, folder, "gauge"))
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    return p4_flags(spark, folder).select("series_id", "ts_ns")
+    return _flagged(spark, folder).select("series_id", "ts_ns")
 
 
 def p5_grid(spark: SparkSession, folder: str) -> DataFrame:
+    """The grid, rounded to 4 places, and fits of 100,000 and more, which readings far off make, to whole numbers."""
+    value = F.when(F.abs("value") < 1e5, F.round("value", 4)).otherwise(F.round("value"))
+    return _grid(spark, folder).withColumns({"value": value, "support": F.round("support", 4)})
+
+
+def _grid(spark: SparkSession, folder: str) -> DataFrame:
     return grid.regular_grid(table(spark, folder, "points"), _of_kind(spark, folder, "gauge"))
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    return p5_grid(spark, folder).where("n_readings = 0").select("series_id", "start_ns")
+    return _grid(spark, folder).where("n_readings = 0").select("series_id", "start_ns")
 
 
 def _tag_keys(spark: SparkSession, folder: str) -> DataFrame:
@@ -91,6 +118,105 @@ rolled AS (
 """
 )
 
+_WHOLE = (
+    _ROLLED
+    + """
+SELECT series_id, day_no, total_7, n_7, total_7 / 7 AS per_day_7, total_30, n_30, total_30 / 30 AS per_day_30,
+  CASE WHEN n_7 > 0 THEN round(total_7 / n_7, 6) END AS mean_7, CASE WHEN n_30 > 0 THEN round(total_30 / n_30, 6) END AS mean_30 FROM rolled
+"""
+)
+
+# the operator's parameters: 8 readings and 64 steps on either side, fences 4.2, sketch buckets of 2 %, hours from 200 readings
+_IMPLAUSIBLE = (
+    "WITH "
+    + _READINGS.format(kind="gauge")
+    + """,
+r AS (
+  SELECT r.series_id, r.ts_ns, r.value, k.lo, k.hi, 64 * k.step_ns AS reach, (r.ts_ns // 3600000000000) % 24 AS hour,
+    NOT isinf(r.value) AND NOT coalesce(r.value < k.lo OR r.value > k.hi, false) AS possible
+  FROM readings r JOIN kinds k USING (series_id)
+),
+around AS (
+  SELECT *, lag(ts_ns) OVER o AS prev_ns, lag(value) OVER o AS prev,
+    list(CASE WHEN possible THEN {'t': ts_ns, 'v': value} END) OVER (o ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING) AS before,
+    list(CASE WHEN possible THEN {'t': ts_ns, 'v': value} END) OVER (o ROWS BETWEEN 1 FOLLOWING AND 8 FOLLOWING) AS behind
+  FROM r WINDOW o AS (PARTITION BY series_id ORDER BY ts_ns)
+),
+near AS (
+  SELECT * EXCLUDE (before, behind),
+    list_sort(list_transform(list_filter(before, lambda x: x IS NOT NULL AND ts_ns - x.t <= reach), lambda x: x.v)) AS b,
+    list_sort(list_transform(list_filter(behind, lambda x: x IS NOT NULL AND x.t - ts_ns <= reach), lambda x: x.v)) AS a
+  FROM around
+),
+sides AS (
+  SELECT * EXCLUDE (a, b), CASE WHEN len(b) >= 2 THEN (b[(len(b) - 1) // 2 + 1] + b[len(b) // 2 + 1]) / 2 END AS l,
+    CASE WHEN len(a) >= 2 THEN (a[(len(a) - 1) // 2 + 1] + a[len(a) // 2 + 1]) / 2 END AS g
+  FROM near
+),
+features AS (SELECT *, CASE WHEN possible THEN value - coalesce((l + g) / 2, l, g) END AS residual FROM sides),
+sketch AS (
+  SELECT series_id, hour, CASE WHEN abs(residual) <= pow(2, -40) THEN 0 ELSE sign(residual) * greatest(1, ceil((ln(abs(residual)) + 40 * ln(2)) / ln(1.02))) END AS bucket, count(*) AS n
+  FROM features WHERE residual IS NOT NULL GROUP BY ALL
+),
+ranked AS (
+  SELECT series_id, hour, bucket, sum(n) OVER (PARTITION BY series_id, hour ORDER BY bucket) AS below, sum(n) OVER (PARTITION BY series_id, hour) AS n_all FROM sketch
+  UNION ALL
+  SELECT series_id, NULL, bucket, sum(n) OVER (PARTITION BY series_id ORDER BY bucket), sum(n) OVER (PARTITION BY series_id)
+  FROM (SELECT series_id, bucket, sum(n) AS n FROM sketch GROUP BY ALL)
+),
+quartiles AS (
+  SELECT series_id, hour, min(v) FILTER (below * 4 >= n_all * 3) - min(v) FILTER (below * 4 >= n_all) AS iqr, max(n_all) AS n_all
+  FROM (SELECT *, CASE WHEN bucket = 0 THEN 0 ELSE sign(bucket) * pow(1.02, abs(bucket) - 0.5) / pow(2, 40) END AS v FROM ranked) GROUP BY ALL
+),
+fences AS (
+  SELECT h.series_id, h.hour, greatest(CASE WHEN h.n_all >= 200 THEN h.iqr END, s.iqr) AS iqr, s.iqr AS series_iqr
+  FROM quartiles h JOIN quartiles s ON s.series_id = h.series_id AND s.hour IS NULL WHERE h.hour IS NOT NULL
+),
+judged AS (
+  SELECT f.*, c.iqr, c.series_iqr, value - coalesce(l, g) AS off_l, value - coalesce(g, l) AS off_g
+  FROM features f LEFT JOIN fences c USING (series_id, hour)
+),
+single AS (
+  SELECT series_id, ts_ns, value, CASE WHEN NOT possible THEN 'physical'
+    WHEN abs((off_l + off_g) / 2) > iqr * 4.7 AND least(off_l * sign((off_l + off_g) / 2), off_g * sign((off_l + off_g) / 2)) > abs((off_l + off_g) / 2) * 0.6 THEN 'rate' END AS reason
+  FROM judged
+),
+steps AS (
+  SELECT series_id, ts_ns, value, CASE WHEN abs(value - prev) <= series_iqr * 0.005 AND ts_ns - prev_ns <= reach THEN 0 ELSE 1 END AS fresh FROM judged
+),
+stretches AS (SELECT *, sum(fresh) OVER (PARTITION BY series_id ORDER BY ts_ns) AS stretch FROM steps),
+lengths AS (SELECT *, count(*) OVER (PARTITION BY series_id, stretch) AS n FROM stretches),
+counted AS (SELECT series_id, n, count(*) // n AS times FROM lengths GROUP BY series_id, n),
+upto AS (SELECT *, sum(times) OVER (PARTITION BY series_id ORDER BY n) AS upto, sum(times) OVER (PARTITION BY series_id) AS all_ FROM counted),
+usual AS (SELECT series_id, min(n) FILTER (upto >= greatest(1, least(ceil(all_ * 0.99), all_ - 2))) AS usual FROM upto GROUP BY series_id),
+stuck AS (SELECT series_id, ts_ns, value, 'stuck' AS reason FROM lengths JOIN usual USING (series_id) WHERE n >= 10 AND n >= usual * 2),
+flags AS (SELECT series_id, ts_ns, value, min(reason) AS reason FROM (SELECT * FROM single WHERE reason IS NOT NULL UNION ALL SELECT * FROM stuck) GROUP BY ALL)
+"""
+)
+
+# weighted sums over the readings of the cells around each cell, which lie within 2.5 steps of its middle
+_GRID = (
+    "WITH "
+    + _READINGS.format(kind="gauge")
+    + """,
+placed AS (SELECT r.series_id, k.step_ns, r.ts_ns // k.step_ns AS cell, (r.ts_ns % k.step_ns) / k.step_ns::DOUBLE AS part, r.value FROM readings r JOIN kinds k USING (series_id)),
+cells AS (SELECT series_id, step_ns, unnest(range(min(cell), max(cell) + 1)) AS cell FROM placed GROUP BY series_id, step_ns),
+own AS (SELECT series_id, cell, count(*) AS n FROM placed GROUP BY ALL),
+pairs AS (
+  SELECT series_id, cell - o AS cell, part + o - 0.5 AS x, value AS y, pow(1 - pow(abs((part + o - 0.5) / 2.5), 3), 3) AS w
+  FROM placed, (SELECT unnest(range(-3, 4)) AS o) WHERE NOT isinf(value) AND abs(part + o - 0.5) < 2.5
+),
+sums AS (SELECT series_id, cell, sum(w) AS s0, sum(w * x) AS s1, sum(w * x * x) AS s2, sum(w * y) AS t0, sum(w * x * y) AS t1, sum(w * w) AS sq FROM pairs GROUP BY ALL),
+fits AS (
+  SELECT c.series_id, c.cell * c.step_ns AS start_ns, coalesce(o.n, 0)::INTEGER AS n_readings, coalesce(s0 * s0 / sq, 0) AS support,
+    CASE WHEN s0 * s0 / sq >= 1.5 THEN CASE WHEN s0 * s2 - s1 * s1 > 1e-9 * s0 * s0 THEN (s2 * t0 - s1 * t1) / (s0 * s2 - s1 * s1) ELSE t0 / s0 END END AS value
+  FROM cells c LEFT JOIN own o USING (series_id, cell) LEFT JOIN sums s USING (series_id, cell)
+)
+SELECT series_id, start_ns, CASE WHEN abs(value) < 1e5 THEN round(value, 4) ELSE round(value) END AS value, round(support, 4) AS support, n_readings,
+  CASE WHEN n_readings > 0 THEN 'observed' WHEN value IS NOT NULL THEN 'filled' ELSE 'missing' END AS status FROM fits
+"""
+)
+
 _STATES = """
 WITH keyed AS (
   SELECT 'series_id' AS key_name, CAST(series_id AS VARCHAR) AS key_value, value, ts_ns FROM points WHERE series_id IS NOT NULL
@@ -105,6 +231,11 @@ SQL = {
     "p1_rolling": _ROLLED
     + "SELECT series_id, day_no, total_7, n_7, total_30, n_30, CASE WHEN n_30 > 0 THEN round(total_30 / n_30, 6) END AS mean_30 FROM rolled WHERE day_no >= first + 29",
     "p1_found": _ROLLED + "SELECT series_id, day_no FROM rolled WHERE day_no >= first + 29 AND 10 * total_7 > 7 * total_30",
+    "p1_rolling_all": _WHOLE,
+    "p1_corrected": _WHOLE,
+    "p4_flags": _IMPLAUSIBLE + "SELECT series_id, ts_ns, CASE WHEN NOT isinf(value) THEN value END AS value, reason FROM flags",
+    "p4_found": _IMPLAUSIBLE + "SELECT series_id, ts_ns FROM flags",
+    "p5_grid": _GRID,
     "p5_found": "WITH "
     + _READINGS.format(kind="gauge")
     + """,
@@ -117,4 +248,4 @@ SELECT series_id, cell * step_ns AS start_ns FROM grid ANTI JOIN cells USING (se
     "p6_found": _STATES + "SELECT key_name, key_value FROM keyed GROUP BY 1, 2 HAVING count(*) * 50 >= (SELECT count(*) FROM points)",
 }
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_rolling, p1_rolling_all, p4_found, p4_flags, p5_found, p5_grid, p6_found, p6_states)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_rolling, p1_rolling_all, p1_corrected, p4_found, p4_flags, p5_found, p5_grid, p6_found, p6_states)}
