@@ -63,8 +63,11 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_grid(spark: SparkSession, folder: str) -> DataFrame:
-    """The grid, rounded to 4 places, and fits of 100,000 and more, which readings far off make, to whole numbers."""
-    value = F.when(F.abs("value") < 1e5, F.round("value", 4)).otherwise(F.round("value"))
+    """The grid, rounded to 4 places, and fits of 100,000 and more, which readings far off make, to whole numbers.
+
+    Stuck values often lie halfway between two rounded ones; a small shift takes them off it.
+    """
+    value = F.when(F.abs("value") < 1e5, F.round(F.col("value") + 1e-5, 4)).otherwise(F.round("value"))
     return _grid(spark, folder).withColumns({"value": value, "support": F.round("support", 4)})
 
 
@@ -212,7 +215,7 @@ fits AS (
     CASE WHEN s0 * s0 / sq >= 1.5 THEN CASE WHEN s0 * s2 - s1 * s1 > 1e-9 * s0 * s0 THEN (s2 * t0 - s1 * t1) / (s0 * s2 - s1 * s1) ELSE t0 / s0 END END AS value
   FROM cells c LEFT JOIN own o USING (series_id, cell) LEFT JOIN sums s USING (series_id, cell)
 )
-SELECT series_id, start_ns, CASE WHEN abs(value) < 1e5 THEN round(value, 4) ELSE round(value) END AS value, round(support, 4) AS support, n_readings,
+SELECT series_id, start_ns, CASE WHEN abs(value) < 1e5 THEN round(value + 1e-5, 4) ELSE round(value) END AS value, round(support, 4) AS support, n_readings,
   CASE WHEN n_readings > 0 THEN 'observed' WHEN value IS NOT NULL THEN 'filled' ELSE 'missing' END AS status FROM fits
 """
 )
