@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from chronoloom.functions.duration import hours
 from chronoloom.llm import contamination, mixing, percentiles, residue, runs
 from chronoloom.operators import shards
 from chronoloom.operators.staging import dimension, staged
@@ -66,6 +67,15 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return p3_runs(spark, folder).select("series_id", "start_ns", "end_ns")
 
 
+ANCHOR_GAP_NS = hours(6)
+
+
+def p3_anchor(spark: SparkSession, folder: str) -> DataFrame:
+    """Every run of events within the tolerance of its first one, without a gap of more than 6 hours."""
+    described = shards.kind_of_series(table(spark, folder, "series"), table(spark, folder, "metric_info"), "state")
+    return runs.collapse_runs(table(spark, folder, "points"), described, compare="anchor", max_gap_ns=ANCHOR_GAP_NS)
+
+
 def p7_leaks(spark: SparkSession, folder: str) -> DataFrame:
     return contamination.leaked_items(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
 
@@ -114,10 +124,9 @@ newest AS (
 readings AS (SELECT series_id, ts_ns, value FROM newest WHERE NOT isnan(value))
 """
 
-_GROUPED = (
-    "WITH "
-    + _READINGS.format(kind="sample")
-    + """,
+_ANY_KIND = _READINGS.replace("WHERE k.kind = '{kind}'", "")
+
+_GROUPED = """,
 pairs AS (SELECT DISTINCT metric_name, group_by FROM query_specs),
 members AS (
   SELECT s.series_id, p.metric_name, p.group_by, t.value AS group_value
@@ -125,7 +134,12 @@ members AS (
 ),
 grouped AS (SELECT m.metric_name, m.group_by, m.group_value, r.value FROM readings r JOIN members m USING (series_id))
 """
-)
+_SAMPLES = "WITH " + _READINGS.format(kind="sample") + _GROUPED
+_PERCENTILES = """
+SELECT metric_name, group_by, group_value, percentile, sorted[greatest(1, ceil(percentile * n))::BIGINT] AS value, n
+FROM (SELECT metric_name, group_by, group_value, list_sort(list(value)) AS sorted, count(*) AS n FROM grouped GROUP BY ALL),
+  (SELECT unnest([0.05, 0.25, 0.5, 0.75, 0.95, 0.99])::DOUBLE AS percentile)
+"""
 
 _RUNS = (
     "WITH "
@@ -139,24 +153,35 @@ numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY series_id ORDER BY ts_ns) A
 """
 )
 
+# row by row: a is the value of the open run's first reading
+_ANCHORED = f"""
+WITH RECURSIVE {_READINGS.format(kind="state")},
+p AS MATERIALIZED (SELECT r.series_id, r.ts_ns, r.value, k.tolerance, row_number() OVER (PARTITION BY r.series_id ORDER BY r.ts_ns) AS i FROM readings r JOIN kinds k USING (series_id)),
+fold AS (
+  SELECT series_id, i, ts_ns, value AS a, ts_ns AS start_ns FROM p WHERE i = 1
+  UNION ALL
+  SELECT p.series_id, p.i, p.ts_ns,
+    CASE WHEN (p.value = o.a OR abs(p.value - o.a) <= p.tolerance) AND p.ts_ns - o.ts_ns <= {ANCHOR_GAP_NS} THEN o.a ELSE p.value END,
+    CASE WHEN (p.value = o.a OR abs(p.value - o.a) <= p.tolerance) AND p.ts_ns - o.ts_ns <= {ANCHOR_GAP_NS} THEN o.start_ns ELSE p.ts_ns END
+  FROM fold o JOIN p ON p.series_id = o.series_id AND p.i = o.i + 1
+)
+SELECT series_id, start_ns, max(ts_ns) AS end_ns, count(*) AS n, max(a) AS value, max(ts_ns) - start_ns AS duration_ns FROM fold GROUP BY series_id, start_ns
+"""
+
+_EVENTS = "SELECT series_id, min(ts_ns) AS start_ns, max(ts_ns) AS end_ns, count(*) AS n, arg_min(value, ts_ns) AS value, max(ts_ns) - min(ts_ns) AS duration_ns FROM numbered GROUP BY series_id, run"
+
 SQL = {
-    "p2_percentiles": _GROUPED
-    + """
-SELECT metric_name, group_by, group_value, percentile, sorted[greatest(1, ceil(percentile * n))::BIGINT] AS value, n
-FROM (SELECT metric_name, group_by, group_value, list_sort(list(value)) AS sorted, count(*) AS n FROM grouped GROUP BY ALL),
-  (SELECT unnest([0.05, 0.25, 0.5, 0.75, 0.95, 0.99])::DOUBLE AS percentile)
-""",
-    "p2_found": _GROUPED
+    "p2_percentiles": _SAMPLES + _PERCENTILES,
+    "p2_percentiles_all": "WITH " + _ANY_KIND + _GROUPED + _PERCENTILES,
+    "p2_found": _SAMPLES
     + """
 SELECT metric_name, group_by, group_value FROM grouped GROUP BY ALL
 HAVING count(*) >= 500 AND quantile_disc(value, 0.99) > 10 * quantile_disc(value, 0.5)
 """,
-    "p3_runs": _RUNS
-    + """
-SELECT series_id, min(ts_ns) AS start_ns, max(ts_ns) AS end_ns, count(*) AS n, arg_min(value, ts_ns) AS value, max(ts_ns) - min(ts_ns) AS duration_ns
-FROM numbered GROUP BY series_id, run HAVING count(*) >= 3
-""",
+    "p3_runs": _RUNS + _EVENTS + " HAVING count(*) >= 3",
+    "p3_runs_all": _RUNS + _EVENTS,
+    "p3_anchor": _ANCHORED,
     "p3_found": _RUNS + "SELECT series_id, min(ts_ns) AS start_ns, max(ts_ns) AS end_ns FROM numbered GROUP BY series_id, run HAVING count(*) >= 3",
 }
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_percentiles, p2_percentiles_all, p3_found, p3_runs, p3_runs_all, p7_found, p7_leaks, p8_found, p8_mixture, p8_shares, p9_found, p9_residue, p9_clean)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_percentiles, p2_percentiles_all, p3_found, p3_runs, p3_runs_all, p3_anchor, p7_found, p7_leaks, p8_found, p8_mixture, p8_shares, p9_found, p9_residue, p9_clean)}

@@ -45,6 +45,19 @@ def test_runs_against_brute_force(spark, make_points, compare, gap, target_rows)
     assert all(r["duration_ns"] == r["end_ns"] - r["start_ns"] for r in got)
 
 
+@pytest.mark.parametrize("kind", ["drift", "walk", "steady", "bursts"])
+def test_a_drifting_entity_is_not_one_task(spark, make_points, kind):
+    """Anchors over series without a certain break, in many shards."""
+    rng = np.random.default_rng(30)
+    n = 600
+    value = {"drift": np.arange(n) * 0.1, "walk": np.cumsum(rng.normal(0, 0.15, n)), "steady": np.full(n, 5.0), "bursts": np.repeat(rng.normal(0, 0.4, n // 20), 20)}[kind]
+    ts = np.cumsum(rng.integers(1, 4, n))
+    events = list(zip(ts.tolist(), value.tolist()))
+    described = spark.createDataFrame([(1, 0.5)], "series_id BIGINT, tolerance DOUBLE")
+    got = runs.collapse_runs(make_points([(1, t, v) for t, v in events]), described, compare="anchor", max_gap_ns=2 if kind == "bursts" else None, target_rows=40).collect()
+    assert sorted((r["start_ns"], r["end_ns"], r["n"], r["value"]) for r in got) == brute_runs(events, 0.5, True, 2 if kind == "bursts" else None)
+
+
 def test_runs_of_nothing(spark, make_points):
     described = spark.createDataFrame([(1, 0.5)], "series_id BIGINT, tolerance DOUBLE")
     assert runs.collapse_runs(make_points([(1, 1, NAN)]), described).count() == 0
