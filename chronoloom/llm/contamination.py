@@ -4,12 +4,12 @@ A passage is a window of ``span_words`` consecutive words of an item, as normali
 blanks. With an error budget of k edits the letters and blanks of the window are cut into k + 1 pieces; a
 text within k edits of the window holds at least one piece unchanged (pigeonhole), wherever its words begin
 and end, because every edit falls into one piece or between two. Pieces are found at any letter of the
-document by rolling hashes, and what lies on either side of a piece is compared with the rest of its window.
-The least sum of edits over all places is the least edit distance of the window to any stretch of the
-document. Distance 0 is followed by a comparison of word borders, because a match of letters may begin or
-end inside a word.
+document by rolling hashes. Where what lies on either side of a piece can be within the budget, the least
+edit distance of the window to the letters around is computed bit-parallel; the least one over all places is that of
+the window to any stretch of the document. Distance 0 is followed by a comparison of word borders, because a match of
+letters may begin or end inside a word.
 
-Every document is read once, whole, where it lies: there is no shuffle of documents and no pair that does
+Every document is read whole, where it lies: there is no shuffle of documents and no pair that does
 not share a piece. Items are taken in blocks of bounded size, each broadcast and matched against all
 documents.
 
@@ -19,8 +19,10 @@ document rows with the same id give one row.
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,16 +33,17 @@ from chronoloom.llm.texts import normal_words
 SPAN_WORDS = 12
 ERROR_BUDGET = 2
 #: Words of the items of one block at most (an item that is larger is a block by itself).
-BLOCK_WORDS = 50_000
+BLOCK_WORDS = 250_000
 
-#: Bits of the hashes by which places are picked out, and the odd number that spreads them.
-HASH_BITS = 22
+#: Bits of the hashes by which places are picked out, beyond those that number the pieces.
+SPARE_BITS = 5
+#: The odd number that spreads hashes.
 _MIX = 0x9E3779B97F4A7C15
 
 _FOUND = "doc_id bigint, item_id bigint, distance int, exact boolean"
 
 
-def least_distance(pattern: str, text: str, budget: int) -> int:
+def least_distance(pattern: str, text: str) -> int:
     """Least edit distance of ``pattern`` to any substring of ``text``; stops early at 0.
 
     Bit-parallel: one column of the dynamic-programming matrix is two bit vectors of vertical differences.
@@ -96,39 +99,49 @@ def edits_of_prefix(pattern: str, text: str, budget: int) -> int:
     return budget + 1
 
 
-def piece_bounds(span_words: int, budget: int) -> list[tuple[int, int]]:
-    """Word bounds of the ``budget + 1`` pieces of a window, as even as can be."""
-    cuts = [round(i * span_words / (budget + 1)) for i in range(budget + 2)]
-    return list(zip(cuts, cuts[1:]))
-
-
 def _rolling_hashes(text: str, most: int) -> Iterator[tuple[int, np.ndarray]]:
     """(size, hash of the letters at each place) for sizes 1, 2, 4 and on up to ``most``."""
     held = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64) * np.uint64(_MIX)
     size, factor = 1, _MIX
     while size <= most and len(held):
-        yield size, (held ^ (held >> np.uint64(29))) * np.uint64(_MIX) >> np.uint64(64 - HASH_BITS)
+        yield size, (held ^ (held >> np.uint64(29))) * np.uint64(_MIX)
         held = held[:-size] * np.uint64(factor) + held[size:]
         size, factor = 2 * size, factor * factor % (1 << 64)
 
 
 class LetterIndex:
-    """Exact index of the pieces of letters of all windows of a block of items."""
+    """Exact index of the pieces of letters of all windows of a block of items: arrays sorted by hash."""
 
     def __init__(self, items: list[tuple[int, list[str]]], span_words: int, budget: int):
         self.budget = budget
-        #: size -> first letters of a piece -> (piece, item, window, where the piece is in it)
-        self.pieces: dict[int, dict[str, list[tuple[str, int, str, int]]]] = defaultdict(dict)
+        texts, windows, base = [], [], 0
         for key, words in items:
-            for window in {" ".join(words[i : i + span_words]) for i in range(len(words) - span_words + 1)}:
-                for a, b in piece_bounds(len(window), budget):
-                    size = 1 << ((b - a).bit_length() - 1)
-                    self.pieces[size].setdefault(window[a : a + size], []).append((window[a:b], key, window, a))
+            lengths = np.array([len(w) for w in words], dtype=np.int64)
+            begin = base + np.r_[0, np.cumsum(lengths + 1)[:-1]] if len(words) else lengths
+            count = len(words) - span_words + 1
+            if count > 0:
+                first = begin[:count]
+                windows.append(np.stack([np.full(count, key), first, begin[span_words - 1 :] + lengths[span_words - 1 :] - first]))
+            texts.append(" ".join(words))
+            base += len(texts[-1]) + 1
+        self.text = "\n".join(texts)
+        key, first, length = np.concatenate(windows, axis=1) if windows else np.zeros((3, 0), dtype=np.int64)
+        cuts = [np.round(i * length / (budget + 1)).astype(np.int64) for i in range(budget + 2)]
+        pieces = np.concatenate([np.stack([key, first, length, a, b]) for a, b in zip(cuts, cuts[1:])], axis=1)
+        sizes = 1 << (np.frexp(np.maximum(pieces[4] - pieces[3], 1).astype(float))[1] - 1).astype(np.int64)
+        bits = max(12, int(pieces.shape[1]).bit_length() + SPARE_BITS)
+        self.shift = np.uint64(64 - bits)
+        #: size -> hashes of the first letters of the pieces of that size, in order, and the pieces
+        self.pieces: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         self.marks: dict[int, np.ndarray] = {}
-        for size, heads in self.pieces.items():
-            self.marks[size] = np.zeros(1 << HASH_BITS, dtype=bool)
-            for head in heads:
-                self.marks[size][[h[0] for n, h in _rolling_hashes(head, size) if n == size]] = True
+        for size, hashes in _rolling_hashes(self.text, int(sizes.max()) if len(sizes) else 0):
+            own = pieces[:, sizes == size]
+            if own.shape[1]:
+                found = hashes[own[1] + own[3]]
+                order = np.argsort(found, kind="stable")
+                self.pieces[size] = found[order], own[:, order]
+                self.marks[size] = np.zeros(1 << bits, dtype=bool)
+                self.marks[size][found >> self.shift] = True
 
     def matches(self, words: list[str]) -> Iterator[tuple[int, int, bool]]:
         """(item, distance, exact) for each item with a window within the budget."""
@@ -138,13 +151,21 @@ class LetterIndex:
         for size, hashes in _rolling_hashes(text, max(self.marks, default=0)):
             if size not in self.marks:
                 continue
-            for i in np.flatnonzero(self.marks[size][hashes]).tolist():
-                for piece, key, window, a in self.pieces[size].get(text[i : i + size], ()):
-                    known = best.get(key, (self.budget + 1, False))
-                    if not known[1] and text.startswith(piece, i):
-                        edits = self._edits(window, text, i, a, a + len(piece), min(self.budget, known[0]))
+            places = np.flatnonzero(self.marks[size][hashes >> self.shift])
+            known, pieces = self.pieces[size]
+            low, high = (np.searchsorted(known, hashes[places], side) for side in ("left", "right"))
+            for i, begin, end in zip(places.tolist(), low.tolist(), high.tolist()):
+                for key, first, length, a, b in pieces[:, begin:end].T.tolist() if begin < end else ():
+                    found = best.get(key, (self.budget + 1, False))
+                    if found[1] or not text.startswith(self.text[first + a : first + b], i):
+                        continue
+                    window = self.text[first : first + length]
+                    budget = min(self.budget, found[0])
+                    if self._edits(window, text, i, a, b, budget) <= budget:
+                        around = text[max(0, i - a - self.budget) : i - a + length + self.budget]
+                        edits = least_distance(window, around)
                         exact = not edits and i >= a and bordered.startswith(f" {window} ", i - a)
-                        if exact or edits < known[0]:
+                        if exact or edits < found[0]:
                             best[key] = edits, exact
         for key, found in best.items():
             yield key, *found
@@ -159,69 +180,23 @@ class LetterIndex:
         return right + edits_of_prefix(window[:a][::-1], text[max(0, i - a - budget) : i][::-1], budget - right)
 
 
-class ItemIndex:
-    """Exact index of the pieces of whole words of all windows of a block of items.
+@lru_cache(1)
+def _index(name: str, block: _Block, span_words: int, budget: int) -> LetterIndex:
+    """The index of a block, built once in a Python worker."""
+    return LetterIndex(block.items, span_words, budget)
 
-    It misses texts in which words of every piece are joined or split; :class:`LetterIndex` misses none.
-    """
 
-    def __init__(self, items: list[tuple[int, list[str]]], span_words: int, budget: int):
-        self.items = {key: words for key, words in items if len(words) >= span_words}
-        self.span, self.budget = span_words, budget
-        self.bounds = bounds = piece_bounds(span_words, budget)
-        self.lengths = sorted({b - a for a, b in bounds})
-        self.pieces: dict[str, dict[int, list[tuple[int, int]]]] = {}
-        for key, words in self.items.items():
-            for begin in range(len(words) - span_words + 1):
-                for a, b in bounds:
-                    at = self.pieces.setdefault(" ".join(words[begin + a : begin + b]), {}).setdefault(key, [])
-                    if not at or begin != at[-1][0] or a != at[-1][1]:
-                        at.append((begin, a))
+class _Block:
+    """Items of a block, told apart by nothing: their name does."""
 
-    def matches(self, words: list[str]) -> Iterator[tuple[int, int, bool]]:
-        """(item, distance, exact) for each item with a window within the budget."""
-        if len(words) < min(self.lengths, default=1):
-            return
-        placed: dict[int, set[tuple[int, int, int]]] = defaultdict(set)
-        for size in self.lengths:
-            for i in range(len(words) - size + 1):
-                hit = self.pieces.get(" ".join(words[i : i + size]))
-                if hit:
-                    for key, at in hit.items():
-                        placed[key].update((begin, i, offset) for begin, offset in at)
-        for key, places in placed.items():
-            found = self._verify(self.items[key], words, places)
-            if found is not None:
-                yield key, *found
-
-    def _verify(self, item: list[str], words: list[str], places: set[tuple[int, int, int]]) -> tuple[int, bool] | None:
-        """``places``: window's begin in the item, word of the document where a piece is, the piece's offset."""
-        for begin, i, offset in places:
-            at = i - offset
-            if at >= 0 and words[at : at + self.span] == item[begin : begin + self.span]:
-                return 0, True
-        best = self.budget + 1
-        for begin, i, offset in places:
-            window = item[begin : begin + self.span]
-            if not self._near(window, words, i, offset):
-                continue
-            # a budget of k edits can join or split at most k words
-            region = words[max(0, i - offset - self.budget) : i - offset + self.span + self.budget]
-            best = min(best, least_distance(" ".join(window), " ".join(region), self.budget))
-            if not best:
-                break
-        return (best, False) if best <= self.budget else None
+    def __init__(self, items: list[tuple[int, list[str]]]):
+        self.items = items
 
-    def _near(self, window: list[str], words: list[str], i: int, offset: int) -> bool:
-        """Whether the texts on both sides of a piece that is found exactly are within the budget together."""
-        size = next(b - a for a, b in self.bounds if a == offset)
-        after = " ".join(window[offset + size :])
-        right = edits_of_prefix(after, " ".join(words[i + size : i + size + self.span + self.budget]), self.budget) if after else 0
-        if right > self.budget:
-            return False
-        before = " ".join(window[:offset])[::-1]
-        left = edits_of_prefix(before, " ".join(words[max(0, i - self.span - self.budget) : i])[::-1], self.budget - right) if before else 0
-        return left + right <= self.budget
+    def __eq__(self, other: object) -> bool:
+        return isinstance(other, _Block)
+
+    def __hash__(self) -> int:
+        return 0
 
 
 def _blocks(items: DataFrame, block_words: int) -> Iterator[list[tuple[int, list[str]]]]:
@@ -259,10 +234,10 @@ def leaked_items(
     known = items.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long"), "text")
     found = spark.createDataFrame([], _FOUND)
     for block in _blocks(known, block_words):
-        shared = spark.sparkContext.broadcast(block)
+        shared, name = spark.sparkContext.broadcast(_Block(block)), uuid.uuid4().hex
 
-        def match(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = LetterIndex(shared.value, span_words, error_budget)
+        def match(batches: Iterable[pa.RecordBatch], shared=shared, name=name) -> Iterator[pa.RecordBatch]:
+            index = _index(name, shared.value, span_words, error_budget)
             for batch in batches:
                 rows = [
                     (doc, *hit)

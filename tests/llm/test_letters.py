@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from hypothesis import given, settings, strategies as st
 
 from chronoloom.llm import contamination
@@ -40,3 +41,24 @@ def test_joined_words_in_a_leaked_passage(spark):
     documents = spark.createDataFrame(texts, "doc_id BIGINT, text STRING")
     got = contamination.leaked_items(documents, spark.createDataFrame([(9, item)], "item_id BIGINT, text STRING")).collect()
     assert {(r["doc_id"], r["distance"], r["exact"]) for r in got} == {(1, 2, False), (2, 0, False)}
+
+
+@pytest.mark.parametrize("kind", ["letters", "blank and letter", "blanks", "inserted"])
+def test_recall_of_each_kind_of_edit(kind):
+    """Every text within two edits of a window is found, whatever is edited."""
+    rng = random.Random(14)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=rng.randint(1, 8))) for _ in range(300)]
+    items = [(i, rng.choices(vocabulary, k=12)) for i in range(60)]
+    index = contamination.LetterIndex(items, 12, 2)
+    for key, words in items:
+        for _ in range(8):
+            text = list(" ".join(words))
+            for edit in {"letters": "rr", "blank and letter": "br", "blanks": "bb", "inserted": "ii"}[kind]:
+                if edit == "b":
+                    del text[rng.choice([i for i, c in enumerate(text) if c == " "])]
+                elif edit == "r":
+                    text[rng.choice([i for i, c in enumerate(text) if c != " "])] = "z"
+                else:
+                    text.insert(rng.randrange(1, len(text)), "y")
+            found = {k: d for k, d, _ in index.matches(rng.choices(vocabulary, k=5) + normal_words("".join(text)) + rng.choices(vocabulary, k=5))}
+            assert 0 <= found[key] <= 2

@@ -30,37 +30,7 @@ def brute_distance(pattern, text):
 @settings(max_examples=200, deadline=None)
 @given(st.text("abc ", max_size=90), st.text("abc ", max_size=60))
 def test_bit_parallel_distance(pattern, text):
-    assert contamination.least_distance(pattern, text, 2) == brute_distance(pattern, text)
-
-
-def test_pieces_cover_the_window():
-    for budget in range(5):
-        bounds = contamination.piece_bounds(12, budget)
-        assert len(bounds) == budget + 1 and bounds[0][0] == 0 and bounds[-1][1] == 12 and all(a[1] == b[0] for a, b in zip(bounds, bounds[1:]))
-
-
-@settings(max_examples=400, deadline=None)
-@given(st.lists(st.sampled_from(["ab", "cd", "abc", "d", "xyz", "q"]), min_size=6, max_size=14), st.integers(0, 10**6))
-def test_no_window_within_the_budget_is_skipped(words, seed):
-    """Against verification of every place, on texts made by edits of an item."""
-    rng = random.Random(seed)
-    text = list(" ".join(words))
-    for _ in range(rng.randint(0, 3)):
-        at = rng.randrange(len(text))
-        text[at : at + rng.choice([0, 1])] = rng.choice(["", "a", " ", "zz"])
-    document = normal_words("q " * rng.randint(0, 2) + "".join(text))
-    span, budget = (5, 1) if seed % 2 else (6, 2)
-    index = contamination.ItemIndex([(1, words)], span, budget)
-    found = [m for m in index.matches(document)]
-    want = budget + 1
-    for begin in range(len(words) - span + 1):
-        window = words[begin : begin + span]
-        for a, b in contamination.piece_bounds(span, budget):
-            for i in range(len(document)):
-                if document[i : i + b - a] == window[a:b]:
-                    region = document[max(0, i - a - budget) : max(0, i - a + span + budget)]
-                    want = min(want, brute_distance(" ".join(window), " ".join(region)))
-    assert (found[0][1] if found else budget + 1) == want
+    assert contamination.least_distance(pattern, text) == brute_distance(pattern, text)
 
 
 def leak_fixture():
@@ -91,7 +61,7 @@ def test_leaks_against_brute_force(spark):
     documents = spark.createDataFrame([(d, t, 1, 2) for d, t in docs.items()] + [(0, docs[0], 1, 2), (None, items[0], 1, 2), (999, None, 1, 2), (998, "", 1, 2)], "doc_id BIGINT, text STRING, item_id INT, distance INT")
     table = spark.createDataFrame([(i, t, 5) for i, t in items.items()] + [(None, items[0], 5), (77, None, 5)], "item_id BIGINT, text STRING, exact INT")
     assert len(want) > 20
-    for block_words in (50_000, 20):
+    for block_words in (250_000, 20):
         got = contamination.leaked_items(documents, table, block_words=block_words).collect()
         assert {(r["doc_id"], r["item_id"]) for r in got if r["exact"]} == want and len(got) == len({(r["doc_id"], r["item_id"]) for r in got})
     assert contamination.leaked_items(documents.limit(0), table).count() == 0 and contamination.leaked_items(documents, table.limit(0)).count() == 0
