@@ -6,8 +6,8 @@ any set of parts.
 
 Each round every partition proposes local order statistics of what is left of each group's range, weighted
 by how many values they stand for. The weighted quantile of the proposals at the wanted rank becomes the
-pivot, together with one on either side of it. The pieces count values below and equal to the pivots by
-binary search, the counts are added up per group, and the ranges that cannot hold the wanted rank are
+pivot, together with one on either side of it. The pieces that meet the range count its values below and equal to the
+pivots by binary search, the counts are added up per group, and the ranges that cannot hold the wanted rank are
 discarded. A range is finished when its pivot has the wanted rank, when it holds no more than
 ``max_rank_error`` of the group's values (any of them is then within that rank error), or when it holds at
 most ``FINISH`` values, which are then sorted. With ``max_rank_error=0`` results are exact.
@@ -36,7 +36,7 @@ FINISH = 4096
 #: Ranges a partition keeps account of before it hands on what it has.
 OPEN_RANGES = 20_000
 
-_PIECES = "series_id bigint, vals array<double>, n bigint"
+_PIECES = "series_id bigint, vals array<double>, n bigint, least double, most double"
 
 
 def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -50,9 +50,14 @@ def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bounds = np.flatnonzero(starts_of(series, block["shard"]))
         sizes = np.diff(np.r_[bounds, len(series)])
         offset = np.arange(len(series)) - np.repeat(bounds, sizes)
-        piece = np.flatnonzero(offset % PIECE == 0)
-        values = pa.ListArray.from_arrays(pa.array(np.r_[piece, len(series)].astype(np.int32)), pa.array(value[order]))
-        yield pa.RecordBatch.from_arrays([pa.array(series[piece]), values, pa.array(np.diff(np.r_[piece, len(series)]))], ["series_id", "vals", "n"])
+        yield _pieces(series, value[order], np.flatnonzero(offset % PIECE == 0))
+
+
+def _pieces(series: np.ndarray, value: np.ndarray, begin: np.ndarray) -> pa.RecordBatch:
+    """Pieces of sorted values that begin at ``begin``, with their number and ends."""
+    ends = np.r_[begin, len(series)]
+    lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(value))
+    return pa.RecordBatch.from_arrays([pa.array(series[begin]), lists, *map(pa.array, (np.diff(ends), value[begin], value[ends[1:] - 1]))], [x.split()[0] for x in _PIECES.split(", ")])
 
 
 def reading_pieces(points: DataFrame, ids: DataFrame) -> DataFrame:
@@ -71,10 +76,8 @@ def value_pieces(values: DataFrame) -> DataFrame:
             series, value = series[order], value[order]
             bounds = np.flatnonzero(starts_of(series))
             offset = np.arange(len(series)) - np.repeat(bounds, np.diff(np.r_[bounds, len(series)]))
-            piece = np.flatnonzero(offset % PIECE == 0)
             if len(series):
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[piece, len(series)].astype(np.int32)), pa.array(value))
-                yield pa.RecordBatch.from_arrays([pa.array(series[piece]), lists, pa.array(np.diff(np.r_[piece, len(series)]))], ["series_id", "vals", "n"])
+                yield _pieces(series, value, np.flatnonzero(offset % PIECE == 0))
 
     good = values.where("series_id IS NOT NULL AND value IS NOT NULL AND NOT isnan(value)")
     return good.select(F.col("series_id").cast("long"), F.col("value").cast("double")).mapInArrow(gather, _PIECES)
@@ -136,24 +139,31 @@ def _propose(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield hand_on()
 
 
+_COUNTED = "group_id string, before bigint, left bigint, pivot double, below bigint, equal bigint"
+
+
 def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each range and pivot, how many values within the range are below and equal to it."""
     counts: dict[tuple, list[int]] = {}
 
     def hand_on() -> pa.RecordBatch:
         rows = [(*key, *n) for key, n in counts.items()]
         counts.clear()
-        columns = list(zip(*rows)) or [[]] * 4
-        kinds = [pa.string(), pa.float64(), pa.int64(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["group_id", "pivot", "below", "equal"])
+        columns = list(zip(*rows)) or [[]] * 6
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [x.split()[0] for x in _COUNTED.split(", ")])
 
     for batch in batches:
         for values, work in _slices(batch):
             for w in work:
+                a, b = _within(values, w)
+                if a >= b:
+                    continue
                 pivots = np.array(w["pivots"])
-                below = np.searchsorted(values, pivots, "left")
-                equal = np.searchsorted(values, pivots, "right") - below
+                below = np.searchsorted(values[a:b], pivots, "left")
+                equal = np.searchsorted(values[a:b], pivots, "right") - below
                 for p, x, y in zip(w["pivots"], below.tolist(), equal.tolist()):
-                    n = counts.setdefault((w["group_id"], p), [0, 0])
+                    n = counts.setdefault((w["group_id"], w["before"], w["left"], p), [0, 0])
                     n[0] += x
                     n[1] += y
         if len(counts) > OPEN_RANGES:
@@ -176,10 +186,14 @@ def _take(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _with_work(pieces: DataFrame, members: DataFrame, work: DataFrame) -> DataFrame:
-    """Each piece with the ``work`` of all groups its part belongs to; a part has few groups."""
-    fields = [c for c in work.columns]
-    each = members.join(work, "group_id").groupBy("series_id").agg(F.collect_list(F.struct(*fields)).alias("work"))
-    return join_dimension(pieces, dimension(each), "series_id", F.col("first")).select("vals", "work")
+    """Each piece with the ``work`` of all groups its part belongs to whose range it meets; a part has few groups.
+
+    A piece that meets no open range goes no further. Its ends are columns of their own, so its values are not even looked at.
+    """
+    each = members.join(work, "group_id").groupBy("series_id").agg(F.collect_list(F.struct(*work.columns)).alias("work"))
+    met = join_dimension(pieces, dimension(each), "series_id", F.col("first"))
+    meets = F.filter("work", lambda w: (w["low"].isNull() | (F.col("most") > w["low"])) & (w["high"].isNull() | (F.col("least") < w["high"])))
+    return met.select("vals", meets.alias("work")).where("size(work) > 0")
 
 
 def multi_select(pieces: DataFrame, members: DataFrame, percentiles: tuple[float, ...], max_rank_error: float = 0.0) -> DataFrame:
@@ -188,7 +202,7 @@ def multi_select(pieces: DataFrame, members: DataFrame, percentiles: tuple[float
     ``pieces`` must be a stored table (it is read twice a round). The driver sees one number per round: how
     many ranges are open. State is written each round, so neither lineage nor driver memory grows.
     """
-    pieces = pieces.withColumn("first", F.hash(F.element_at("vals", 1)))
+    pieces = pieces.withColumn("first", F.hash("least", "most"))
     members = dimension(members.where("series_id IS NOT NULL AND group_id IS NOT NULL").select("series_id", "group_id").distinct())
     sizes = pieces.groupBy("series_id").agg(F.sum("n").alias("n")).join(members, "series_id").groupBy("group_id").agg(F.sum("n").alias("n"))
     wanted = F.explode(F.array(*[F.lit(float(p)) for p in percentiles])).alias("percentile")
@@ -221,15 +235,15 @@ def _round(pieces: DataFrame, members: DataFrame, state: DataFrame, bound: Colum
         .withColumn("all", F.sum("weight").over(W.partitionBy(*key)))
     )
     spots = F.explode(F.array(F.lit(-1.0), F.lit(0.0), F.lit(1.0))).alias("side")
-    aims = active.select(*key, "percentile", ((F.col("rank") - F.col("before")) / F.col("left")).alias("aim"), spots)
+    aims = active.select(*key, "low", "high", "percentile", ((F.col("rank") - F.col("before")) / F.col("left")).alias("aim"), spots)
     aims = aims.withColumn("aim", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("aim") + F.col("side") * (1.0 / PROPOSALS))))
     reached = F.min(F.when(F.col("upto") >= F.col("aim") * F.col("all") * (1 - 1e-9), F.col("proposal")))
-    pivots = aims.join(ranked, key).groupBy("group_id", "percentile", "side").agg(F.coalesce(reached, F.max("proposal")).alias("pivot"))
-    work = dimension(pivots.groupBy("group_id").agg(F.array_sort(F.collect_set("pivot")).alias("pivots")))
-    counted = _with_work(pieces, members, work).mapInArrow(_count, "group_id string, pivot double, below bigint, equal bigint")
-    totals = counted.groupBy("group_id", "pivot").agg(F.sum("below").alias("below"), F.sum("equal").alias("equal"))
-    found = totals.groupBy("group_id").agg(F.collect_list(F.struct("pivot", "below", "equal")).alias("pivots"))
-    met = state.join(found, "group_id", "left")
+    pivots = aims.join(ranked, key).groupBy(*key, "low", "high", "percentile", "side").agg(F.coalesce(reached, F.max("proposal")).alias("pivot"))
+    work = dimension(pivots.groupBy(*key, "low", "high").agg(F.array_sort(F.collect_set("pivot")).alias("pivots")))
+    counted = _with_work(pieces, members, work).mapInArrow(_count, _COUNTED)
+    totals = counted.groupBy(*key, "pivot").agg((F.sum("below") + F.col("before")).alias("below"), F.sum("equal").alias("equal"))
+    found = totals.groupBy(*key).agg(F.collect_list(F.struct("pivot", "below", "equal")).alias("pivots"))
+    met = state.join(found, key, "left")
     pivots_of = F.coalesce("pivots", F.array().cast("array<struct<pivot:double,below:bigint,equal:bigint>>"))
     hit = F.filter(pivots_of, lambda p: (p["below"] < F.col("rank")) & (F.col("rank") <= p["below"] + p["equal"]))
     under = F.array_max(F.transform(F.filter(pivots_of, lambda p: p["below"] + p["equal"] < F.col("rank")), lambda p: F.struct(p["pivot"].alias("pivot"), (p["below"] + p["equal"]).alias("upto"))))
