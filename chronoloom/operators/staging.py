@@ -14,8 +14,8 @@ from chronoloom.errors import StorageError
 BROADCAST_ROWS = 500_000
 #: A table of at most this many rows, made from at most this many bytes, is kept on the driver instead of being written.
 LOCAL_ROWS, LOCAL_INPUT_BYTES = 20_000, 512 << 20
-#: Copies of the dimension, and slices of each key of the facts, in a salted join.
-SALTS = 32
+#: A key is hot in a shuffled join if it holds more than one in so many of the facts, and at least so many rows.
+HOT_PARTS, HOT_ROWS = 2000, 100_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -90,6 +90,10 @@ def dimension(df: DataFrame) -> DataFrame:
     return with_known_rows(written, written.count())
 
 
+#: The same under a name that arguments do not hide.
+computed = dimension
+
+
 def with_known_rows(df: DataFrame, rows: int | None) -> DataFrame:
     """Note how many rows ``df`` has, so that joins need not count them."""
     df.known_rows = rows
@@ -106,14 +110,30 @@ def join_dimension(
 ) -> DataFrame:
     """Join a measured dimension to facts that may hold one key in a third of their rows.
 
-    Up to ``most`` rows the dimension is broadcast and the facts are not shuffled. Beyond that every
-    key of the facts is cut into ``SALTS`` slices by ``salt`` (any integer column that varies within
-    a key) and the dimension is repeated once per slice, so no task gets a whole hot key.
+    Up to ``most`` rows the dimension is broadcast and the facts are not shuffled. Beyond that both are shuffled by key.
+    Keys that hold more than one in ``HOT_PARTS`` of all facts, of which there are fewer than ``HOT_PARTS``, are counted
+    first. Only these are cut into slices of about that size, by ``salt`` (any integer column that varies within a key),
+    and only their rows of the dimension are repeated, once per slice; so no task gets a whole hot key.
     """
     on = [on] if isinstance(on, str) else list(on)
     known = known_rows(dimension)
     if known <= most if isinstance(known, int) else is_small(dimension, most):
         return facts.join(F.broadcast(dimension), on, how)
-    left = facts.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("int"))
-    right = dimension.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
-    return left.join(right, [*on, "_salt"], how).drop("_salt")
+    hot = hot_keys(facts, on)
+    if not hot.limit(1).count():
+        return facts.join(dimension.hint("merge"), on, how)
+    left = facts.join(F.broadcast(hot), on, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(salt), F.col("_slices")), F.lit(0)).cast("int")).drop("_slices")
+    slices = F.sequence(F.lit(0), F.coalesce(F.col("_slices"), F.lit(1)).cast("int") - 1)
+    right = dimension.join(F.broadcast(hot), on, "left").withColumn("_salt", F.explode(slices)).drop("_slices")
+    return left.join(right.hint("merge"), [*on, "_salt"], how).drop("_salt")
+
+
+def hot_keys(facts: DataFrame, on: list[str]) -> DataFrame:
+    """The columns ``on`` and ``_slices`` of the keys that hold more than one in ``HOT_PARTS`` of all facts.
+
+    One pass that reads the key columns only, combined on the map side. Fewer than ``HOT_PARTS`` keys can be hot.
+    """
+    counts = staged(facts.groupBy(*on).agg(F.count("*").alias("_n")))
+    rows = counts.agg(F.sum("_n")).first()[0] or 0
+    part = max(rows / HOT_PARTS, HOT_ROWS)
+    return computed(counts.where(F.col("_n") > part).select(*on, F.ceil(F.col("_n") / F.lit(part)).alias("_slices")))

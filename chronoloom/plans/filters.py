@@ -101,6 +101,7 @@ class Or(Node):
         return "(" + " OR ".join(map(str, self.nodes)) + ")"
 
 
+#: The letters of keys and values, and the words of the language.
 _LEX = re.compile(
     r"""(?P<space>[ \r\t\n\f]+)
       | (?P<set>[a-zA-Z_-]+:\[[^\[\]]*\])

@@ -19,12 +19,12 @@ def database(spark, rows, metric="hello"):
     return Database.from_dataframes(*split_points(df))
 
 
-TALNA = [({"service": "one"}, t, float(v)) for t, v in enumerate((4, 10, 6, 10, 20))]
-TWO = TALNA + [({"service": "two"}, 5, 7.0), ({"service": "two"}, 6, 5.0)]
+SOLO = [({"service": "one"}, t, float(v)) for t, v in enumerate((4, 10, 6, 10, 20))]
+TWO = SOLO + [({"service": "two"}, 5, 7.0), ({"service": "two"}, 6, 5.0)]
 
 
 def test_bounds(spark):
-    db = database(spark, TALNA)
+    db = database(spark, SOLO)
     for refine, expected in (
         (lambda q: q.start(2), Bucket(2, 4, 3.0, 3)),
         (lambda q: q.end(3), Bucket(0, 3, 4.0, 4)),
@@ -87,7 +87,7 @@ def test_nan_and_null_values(spark):
 
 
 def test_bad_queries(spark):
-    db = database(spark, TALNA)
+    db = database(spark, SOLO)
     for bad in (lambda: db.avg("Bad", "a"), lambda: db.avg("hello", "a").filter("x y").collect(), lambda: db.avg("hello", "service").granularity(-1).collect()):
         with pytest.raises(InvalidQuery):
             bad()
@@ -117,6 +117,29 @@ def test_store_round_trip(spark, tmp_path):
     assert again.max("cpu.total", "host").end_relative(days(1)).collect()["h-2"] == []
 
 
+def test_scan_of_a_store_is_pruned(spark, tmp_path):
+    """A query reads the folders of its metric and months only, and few series go to the scan."""
+    db = Database.builder(spark).cache_size_mib(0).open(str(tmp_path / "db"))
+    rows = [(m, day * days(1), float(day), {"host": h}) for m in ("cpu", "mem") for h in ("a", "b") for day in range(0, 100, 9)]
+    db.write_df(spark.createDataFrame(rows, "metric STRING, ts_ns BIGINT, value DOUBLE, tags MAP<STRING,STRING>"))
+    query = db.count("cpu", "host").start(days(30)).filter("!host:b")
+    plan = query.matching_points()._jdf.queryExecution().executedPlan().toString()
+    assert "metric#" in plan.split("PartitionFilters: [")[1].split("]")[0] and "time_bucket#" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert "series_id" in plan.split("PushedFilters: [")[1].split("]")[0]
+    assert query.granularity(days(400)).collect() == {"a": [Bucket(days(36), days(99), 8.0, 8)]}
+
+
+def test_cache_holds_what_fits(spark, tmp_path):
+    schema = "metric STRING, ts_ns BIGINT, value DOUBLE, tags MAP<STRING,STRING>"
+    db = Database.builder(spark).cache_size_mib(64).open(str(tmp_path / "db"))
+    db.write_df(spark.createDataFrame([("m", 1, 1.0, {"a": "b"})], schema))
+    assert db.sum("m", "a").collect()["b"][0].value == 1.0 and set(db._cached) == {"points", "series"} and db.points().is_cached
+    db.write_df(spark.createDataFrame([("m", 2, 2.0, {"a": "b"})], schema))
+    assert not db._cached and db.sum("m", "a").collect()["b"][0].value == 3.0
+    db.release()
+    assert not Database(spark, db.path, None, None, cache_mib=0).points().is_cached
+
+
 def test_bulk_writes_are_checked(spark, tmp_path):
     db = Database.open(spark, str(tmp_path / "db"))
     schema = "metric STRING, ts_ns BIGINT, value DOUBLE, tags MAP<STRING,STRING>"
@@ -166,5 +189,5 @@ def test_stream_ingest(spark, tmp_path):
 
 
 def test_now_is_frozen_when_asked(spark):
-    query = database(spark, TALNA).count("hello", "service").start_relative(10)
+    query = database(spark, SOLO).count("hello", "service").start_relative(10)
     assert abs(timestamp() - query.start_ns) < 10**12

@@ -8,11 +8,11 @@ from chronoloom.plans.filters import AllStar, And, Eq, Not, Or, Wildcard, parse_
 @pytest.mark.parametrize(
     "text, tree",
     [
-        ("hello:world", Eq("hello", "world")),
-        ("!hello:world", Not(Eq("hello", "world"))),
-        ("!(hello:world OR hallo:welt)", Not(Or((Eq("hello", "world"), Eq("hallo", "welt"))))),
-        ("service:db-*", Wildcard("service", "db-")),
-        ("service:*", Wildcard("service", "")),
+        ("site:north", Eq("site", "north")),
+        ("!site:north", Not(Eq("site", "north"))),
+        ("!(site:north OR lane:left)", Not(Or((Eq("site", "north"), Eq("lane", "left"))))),
+        ("unit:kw_*", Wildcard("unit", "kw_")),
+        ("unit:*", Wildcard("unit", "")),
         (" * ", AllStar()),
         (None, AllStar()),
         ("ANDx:y", Eq("ANDx", "y")),
@@ -34,9 +34,9 @@ def test_refuses(text):
 
 
 def test_sets():
-    assert parse_filter("host:[a1  ,a2  ,           a3]", sets=True) == Or((Eq("host", "a1"), Eq("host", "a2"), Eq("host", "a3")))
-    assert parse_filter("host:[a1]", sets=True) == Eq("host", "a1")
-    for bad in ("host:[]", "host:[a b]", "host:[a,,b]"):
+    assert parse_filter("bay:[ b.7,b_8 ,\tb-9 ]", sets=True) == Or((Eq("bay", "b.7"), Eq("bay", "b_8"), Eq("bay", "b-9")))
+    assert parse_filter("bay:[x]", sets=True) == Eq("bay", "x")
+    for bad in ("bay:[]", "bay:[a b]", "bay:[a,,b]"):
         with pytest.raises(InvalidQuery):
             parse_filter(bad, sets=True)
 
@@ -47,9 +47,9 @@ def test_deep_nesting_is_refused_not_fatal():
 
 
 def test_series_keys():
-    assert names.series_key("cpu.total", {"service": "web"}) == "cpu.total#service:web"
-    assert names.series_key("cpu.total", {"service": "web", "host": "i-187", "env": "dev"}) == "cpu.total#env:dev;host:i-187;service:web"
-    assert names.parse_tags("env:dev;host:i-187:2") == {"env": "dev", "host": "i-187:2"}
+    assert names.series_key("gate.load", {"site": "north"}) == "gate.load#site:north"
+    assert names.series_key("gate.load", {"site": "north", "bay": "b-7", "lane": "left"}) == "gate.load#bay:b-7;lane:left;site:north"
+    assert names.parse_tags("lane:left;bay:b-7:2") == {"lane": "left", "bay": "b-7:2"}
     assert names.parse_tags("") == {} and names.term("m", "k", "v") == "m#k:v"
 
 

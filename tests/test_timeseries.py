@@ -38,13 +38,19 @@ def test_whole_shards_never_cuts_a_shard():
         assert all(not (a & b) for i, a in enumerate(seen) for b in seen[i + 1 :])
 
 
-def test_salted_join_equals_broadcast(spark):
-    facts = spark.range(500).selectExpr("id % 3 AS k", "id AS v")
-    dimension = spark.createDataFrame([(0, "a"), (1, "b")], "k BIGINT, name STRING")
+@pytest.mark.parametrize("hot_rows", [10, 10_000])
+def test_large_join_equals_broadcast(spark, monkeypatch, hot_rows):
     from pyspark.sql import functions as F
 
-    for how in ("inner", "left"):
-        assert sorted(map(str, join_dimension(facts, dimension, "k", F.col("v"), how, most=0).collect())) == sorted(map(str, join_dimension(facts, dimension, "k", F.col("v"), how).collect()))
+    monkeypatch.setattr(staging, "HOT_ROWS", hot_rows)
+    monkeypatch.setattr(staging, "HOT_PARTS", 4)
+    facts = spark.range(500).selectExpr("if(id < 300, 0, id % 40) AS k", "id AS v")
+    dimension = spark.range(60).selectExpr("id - 5 AS k", "concat('n', id) AS name")
+    assert {r["k"]: r["_slices"] for r in staging.hot_keys(facts, ["k"]).collect()} == ({0: 3} if hot_rows == 10 else {})
+    for how in ("inner", "left", "left_anti"):
+        large = join_dimension(facts, dimension, "k", F.col("v"), how, most=0)
+        assert sorted(map(str, large.collect())) == sorted(map(str, join_dimension(facts, dimension, "k", F.col("v"), how).collect()))
+    assert join_dimension(facts.limit(0), dimension, "k", F.col("v"), most=0).count() == 0
 
 
 # -- rolling totals
