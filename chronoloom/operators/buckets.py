@@ -4,7 +4,7 @@ Within a group, from the newest point back, a point joins the open bucket while
 than the bucket's newest point; the first one that is older opens the next bucket. So the ends of the buckets
 are the orbit of ``e -> newest time before e - width``, which no fixed window expresses.
 
-Lossless mode (the default) cuts a group into shards of about equal rows, whatever the width of a bucket. One
+A group is cut into shards of about equal rows, whatever the width of a bucket. One
 shuffle on (group, shard) serves the last write of each series and time, the order and the buckets, of which
 only partial aggregates leave a shard. The orbit enters a shard at a limit handed on by a newer one: each shard
 of a group that has several states at which limit the orbit leaves it for every time at which it could enter.
@@ -13,9 +13,10 @@ shard. Where they are not (a bucket covers many shards) there are few buckets: t
 rounds, each of which looks up one shard per group, and the shards in between, which lie in one bucket, are
 not looked at. Groups of one shard skip all that.
 
-``boundary="drop"`` loses the point that closes a bucket, and ``order="series"`` reads the series of a group
-one after the other, the one whose newest point is oldest first. These two follow single rows and stream a
-group through one task in constant memory; they exist for comparison with the historical behaviour.
+``boundary="drop"`` loses the point that closes a bucket; of points of one time the one with the least value closes it.
+``order="series"`` reads the series of a group one after the other, the one whose newest point is oldest first. It
+follows single rows and streams a group through one task in constant memory; it exists for comparison with the
+historical behaviour.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ ROUND_ENTRIES = 100_000
 #: What stands for "no limit".
 _NO_LIMIT = -(1 << 63)
 
-_TABLES = "group_no bigint, shard bigint, oldest bigint, n_entries bigint, entries array<bigint>, exits array<bigint>"
+_TABLES = "group_no bigint, shard bigint, oldest bigint, n_entries bigint, top bigint, entries array<bigint>, exits array<bigint>"
 _PARTIAL = "group_no bigint, bucket_end bigint, start bigint, len bigint, total double, least double, most double"
 
 
@@ -57,18 +58,23 @@ def aggregate(name: str, value: str = "value") -> Column:
 
 
 def _next(ts: np.ndarray, width: int) -> np.ndarray:
-    """For ascending distinct times, the index of the newest time before ``ts - width`` (-1: none)."""
+    """For ascending times, the index of the newest time before ``ts - width`` (-1: none)."""
     return np.searchsorted(ts, ts - width, "left") - 1
 
 
-def exit_limits(ts: np.ndarray, width: int) -> np.ndarray:
-    """The limit at which the orbit leaves the shard, for each time as the first bucket end in it."""
+def exit_limits(ts: np.ndarray, width: int, drop: bool = False) -> np.ndarray:
+    """The limit at which the orbit leaves the shard, for each time as the first bucket end in it.
+
+    With ``drop`` the point behind a bucket is lost and the one after it opens the next; ``_NO_LIMIT`` says that the
+    last point of the shard was lost, so that an older shard's newest point opens a bucket.
+    """
     after = _next(ts, width)
-    last = np.where(after < 0, np.arange(len(ts)), after)
+    lost = drop & (after == 0)
+    last = np.where((after < 0) | lost, np.arange(len(ts)), after - drop)
     while True:  # pointer doubling
         further = last[last]
         if np.array_equal(further, last):
-            return ts[last] - width
+            return np.where(lost[last], _NO_LIMIT, ts[last] - width)
         last = further
 
 
@@ -90,6 +96,25 @@ def bucket_ends(ts: np.ndarray, width: int, limit: int | None) -> np.ndarray:
     return ordered[np.searchsorted(ordered, ts, "left")]
 
 
+def ends_with_losses(ts: np.ndarray, width: int, limit: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """The newest time of the bucket of each row of ascending times, and which rows are not lost."""
+    ends, kept = np.zeros(len(ts), dtype=np.int64), np.ones(len(ts), dtype=bool)
+    after = _next(ts, width)
+    at = len(ts) - 1
+    if limit is not None:
+        close = int(np.searchsorted(ts, limit, "left")) - 1
+        ends[close + 1 :] = limit + width
+        kept[close : close + 1] = False
+        at = close - 1
+    while at >= 0:
+        close = int(after[at])
+        ends[close + 1 : at + 1] = ts[at]
+        if close >= 0:
+            kept[close] = False
+        at = close - 1
+    return ends, kept
+
+
 def _current(block: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     """Of sorted writes, the last one of each (group, shard, time, series), unless it has no value."""
     last = np.ones(len(block["ts_ns"]), dtype=bool)
@@ -106,20 +131,30 @@ def _blocks(batches: Iterable[pa.RecordBatch], writes: bool) -> Iterator[tuple[d
             yield block, np.flatnonzero(starts_of(block["group_no"], block["shard"]))
 
 
-def _offer(width: int, writes: bool):
+def _downwards(block: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Rows of equal time so that reading backwards goes from the least value to the greatest."""
+    value = np.where(np.isnan(block["value"]), np.inf, block["value"])
+    order = np.lexsort((-value, block["ts_ns"], block["shard"], block["group_no"]))
+    return {name: column[order] for name, column in block.items()}
+
+
+def _offer(width: int, writes: bool, drop: bool):
     """Of each shard, the possible first bucket ends and the limits at which they leave it."""
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, begin in _blocks(batches, writes):
             head, sizes, lists = [], [0], []
             for a, b in zip(begin, np.r_[begin[1:], len(block["ts_ns"])]):
-                ts = np.unique(block["ts_ns"][a:b])
-                exits = exit_limits(ts, width)
+                ts = np.sort(block["ts_ns"][a:b]) if drop else np.unique(block["ts_ns"][a:b])
+                exits = exit_limits(ts, width, drop)
+                top = int(exits[-1])
+                if drop:  # a limit meets the point that is lost; the one before it opens the bucket
+                    exits = np.r_[_NO_LIMIT, exits[:-1]]
                 # an orbit enters no earlier than one bucket's width before the shard's upper bound
                 low = max(0, int(np.searchsorted(ts, block["end_ns"][a] - width, "left")) - 1)
                 entries, exits = ts[low:], exits[low:]
                 keep = np.r_[True, exits[1:] != exits[:-1]]
-                head.append((int(block["group_no"][a]), int(block["shard"][a]), int(ts[0]), int(keep.sum())))
+                head.append((int(block["group_no"][a]), int(block["shard"][a]), int(ts[0]), int(keep.sum()), top))
                 sizes.append(int(keep.sum()))
                 lists.append((entries[keep], exits[keep]))
             offsets = pa.array(np.cumsum(sizes).astype(np.int32))
@@ -135,10 +170,14 @@ def _lists(column: pa.Array) -> Iterator[np.ndarray]:
     return (flat[a:b] for a, b in zip(ends, ends[1:]))
 
 
-def _leave(entries: np.ndarray, exits: np.ndarray, limit: int | None) -> int:
-    """The limit at which an orbit that comes in at ``limit`` leaves a shard."""
-    at = len(entries) - 1 if limit is None else int(np.searchsorted(entries, limit, "left")) - 1
-    return int(exits[max(at, 0)])
+def _leave(entries: np.ndarray, exits: np.ndarray, top: int, limit: int | None) -> int | None:
+    """The limit at which an orbit that comes in at ``limit`` leaves a shard; ``top`` without a limit."""
+    found = top if limit is None else int(exits[max(int(np.searchsorted(entries, limit, "left")) - 1, 0)])
+    return None if found == _NO_LIMIT else found
+
+
+def _tables(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    return zip(_lists(batch.column("entries")), _lists(batch.column("exits")), batch.column("top").to_pylist())
 
 
 def _follow(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,13 +185,12 @@ def _follow(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     group, limit = None, None
     for batch in batches:
         rows = []
-        numbers, shards, oldest = (batch.column(c).to_pylist() for c in ("group_no", "shard", "oldest"))
-        for number, shard, first, entries, exits in zip(numbers, shards, oldest, _lists(batch.column("entries")), _lists(batch.column("exits"))):
+        for number, shard, first, table in zip(*(batch.column(c).to_pylist() for c in ("group_no", "shard", "oldest")), _tables(batch)):
             if number != group:
                 group, limit = number, None
             rows.append((number, shard, limit))
             if limit is None or first < limit:
-                limit = _leave(entries, exits, limit)
+                limit = _leave(*table, limit)
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["group_no", "shard", "limit_ns"])
 
@@ -160,8 +198,7 @@ def _follow(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _look_up(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The limits at which the orbits that come in at ``limit_ns`` leave the one shard given per group."""
     for batch in batches:
-        limits = batch.column("limit_ns").to_pylist()
-        exits = [_leave(a, b, x) for a, b, x in zip(_lists(batch.column("entries")), _lists(batch.column("exits")), limits)]
+        exits = [_leave(*table, limit) for table, limit in zip(_tables(batch), batch.column("limit_ns").to_pylist())]
         yield pa.RecordBatch.from_arrays([batch.column("group_no"), batch.column("shard"), pa.array(exits, pa.int64())], ["group_no", "shard", "limit_ns"])
 
 
@@ -182,15 +219,15 @@ def _limits(tables: DataFrame, width_ns: int) -> DataFrame:
         # the newest shard below the last one that has points below the limit
         met = join_dimension(heads, state, "group_no", F.col("next")).where("next < shard AND (limit_ns IS NULL OR oldest < limit_ns)")
         asked = met.groupBy("group_no").agg(F.max("next").alias("shard"), F.first("limit_ns").alias("limit_ns"))
-        found = tables.join(asked, ["group_no", "shard"]).select("group_no", "shard", "limit_ns", "entries", "exits")
+        found = tables.join(asked, ["group_no", "shard"]).select("group_no", "shard", "limit_ns", "top", "entries", "exits")
         state = dimension(found.mapInArrow(_look_up, "group_no bigint, shard bigint, limit_ns bigint"))
         if not state.limit(1).count():
             break
         visits.append(state)
-    known = reduce(DataFrame.unionByName, visits).withColumn("exit_ns", F.col("limit_ns")).select("group_no", "shard", "exit_ns")
+    known = reduce(DataFrame.unionByName, visits).select("group_no", "shard", F.struct("limit_ns").alias("left"))
     down = W.partitionBy("group_no").orderBy(F.desc("shard")).rowsBetween(W.unboundedPreceding, -1)
     passed = join_dimension(heads.withColumnRenamed("next", "shard"), dense, "group_no", F.col("shard")).join(known, ["group_no", "shard"], "left")
-    through = passed.select("group_no", "shard", F.last("exit_ns", ignorenulls=True).over(down).alias("limit_ns"))
+    through = passed.select("group_no", "shard", F.last("left", ignorenulls=True).over(down).getField("limit_ns").alias("limit_ns"))
     return through.unionByName(_followed(plain))
 
 
@@ -199,16 +236,24 @@ def _followed(tables: DataFrame) -> DataFrame:
     return ordered.mapInArrow(_follow, "group_no bigint, shard bigint, limit_ns bigint")
 
 
-def _assign(width: int, writes: bool):
+def _assign(width: int, writes: bool, drop: bool):
     """Partial aggregates of the buckets of each shard, in the order of their newest times."""
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, begin in _blocks(batches, writes):
-            ends = np.empty(len(block["ts_ns"]), dtype=np.int64)
+            block = _downwards(block) if drop else block
+            ends, kept = np.empty(len(block["ts_ns"]), dtype=np.int64), np.ones(len(block["ts_ns"]), dtype=bool)
             for a, b in zip(begin, np.r_[begin[1:], len(ends)]):
-                distinct, back = np.unique(block["ts_ns"][a:b], return_inverse=True)
                 limit = None if block["limit_ns"][a] == _NO_LIMIT else int(block["limit_ns"][a])
-                ends[a:b] = bucket_ends(distinct, width, limit)[back]
+                if drop:
+                    ends[a:b], kept[a:b] = ends_with_losses(block["ts_ns"][a:b], width, limit)
+                else:
+                    distinct, back = np.unique(block["ts_ns"][a:b], return_inverse=True)
+                    ends[a:b] = bucket_ends(distinct, width, limit)[back]
+            if drop:
+                block, ends = {name: column[kept] for name, column in block.items()}, ends[kept]
+            if not len(ends):
+                continue
             at = np.flatnonzero(starts_of(block["group_no"], block["shard"], ends))
             value = block["value"]
             with np.errstate(invalid="ignore", over="ignore"):
@@ -226,7 +271,7 @@ def plan_groups(points: DataFrame, target_rows: int = TARGET_ROWS) -> tuple[Data
     return with_known_rows(keys.select("group", "group_no"), known_rows(keys)), replace(plan, keys=keys)
 
 
-def fold_lossless(points: DataFrame, plan: ShardPlan, width_ns: int, writes: bool) -> DataFrame:
+def fold_shards(points: DataFrame, plan: ShardPlan, width_ns: int, writes: bool, drop: bool) -> DataFrame:
     """Partial aggregates ``group_no, bucket_end, start, len, total, least, most`` of the buckets of each shard.
 
     ``points`` has ``group, series_id, ts_ns, value, ingest_seq, known``.
@@ -241,13 +286,13 @@ def fold_lossless(points: DataFrame, plan: ShardPlan, width_ns: int, writes: boo
     if several.limit(1).count():
         wanted = dimension(several.select("group", F.lit(True).alias("several")))
         large = located(join_dimension(points, wanted, "group", F.col("ts_ns")), plan).select("group_no", "shard", "end_ns", "series_id", "ts_ns", "ingest_seq", "known", "value")
-        tables = staged(in_shards(large).mapInArrow(_offer(width_ns, writes), _TABLES))
+        tables = staged(in_shards(large).mapInArrow(_offer(width_ns, writes, drop), _TABLES))
         limits = staged(_limits(tables, width_ns))
         cut = join_dimension(cut, limits, ["group_no", "shard"], F.col("ts_ns"), "left")
     else:
         cut = cut.withColumn("limit_ns", F.lit(None).cast("long"))
     ready = cut.select("group_no", "shard", "series_id", "ts_ns", "ingest_seq", "value", "known", F.coalesce("limit_ns", F.lit(_NO_LIMIT)).alias("limit_ns"))
-    return in_shards(ready).mapInArrow(_assign(width_ns, writes), _PARTIAL)
+    return in_shards(ready).mapInArrow(_assign(width_ns, writes, drop), _PARTIAL)
 
 
 def merged(agg: str) -> Column:
@@ -295,17 +340,14 @@ def _fold(width: int, drop: bool):
     return work
 
 
-def assign_streamed(points: DataFrame, width_ns: int, drop: bool, by_series: bool) -> DataFrame:
-    """``group_no, ts_ns, value, bucket_end`` in the historical modes, from ``group_no, series_id, ts_ns, value``.
+def assign_streamed(points: DataFrame, width_ns: int, drop: bool) -> DataFrame:
+    """``group_no, ts_ns, value, bucket_end`` series by series, from ``group_no, series_id, ts_ns, value``.
 
     ``bucket_end`` only tells buckets of a group apart here.
     """
-    if by_series:
-        newest = points.groupBy("group_no", "series_id").agg(F.max("ts_ns").alias("turn"))
-        points = points.join(newest, ["group_no", "series_id"])
-    else:
-        points = points.withColumn("turn", F.lit(0).cast("long"))
-    order = ["group_no", "turn", *(["series_id"] if by_series else []), F.desc("ts_ns"), "value"]
+    newest = points.groupBy("group_no", "series_id").agg(F.max("ts_ns").alias("turn"))
+    points = points.join(newest, ["group_no", "series_id"])
+    order = ["group_no", "turn", "series_id", F.desc("ts_ns"), "value"]
     ready = points.repartition("group_no").sortWithinPartitions(*order).select("group_no", "turn", "ts_ns", "value")
     return ready.mapInArrow(_fold(width_ns, drop), "group_no bigint, ts_ns bigint, value double, bucket_end bigint")
 
@@ -335,22 +377,22 @@ def bucketed(
     value = aggregate(agg).alias("value")
     result = [F.min("ts_ns").alias("start"), F.max("ts_ns").alias("end"), value, F.count(F.lit(1)).alias("len")]
     points = points.where("group IS NOT NULL AND ts_ns IS NOT NULL")
-    lossless = boundary == "keep" and order == "time"
-    if lossless and not single:
+    single = single and boundary == "keep" and order == "time"
+    if order == "time" and not single:
         seq = F.col("ingest_seq") if writes else F.lit(0)
         rows = points.select("group", "series_id", "ts_ns", F.col("value").cast("double").alias("value"), seq.cast("long").alias("ingest_seq"), F.col("value").isNotNull().alias("known"))
         rows = rows if writes else rows.where("known")
         names, plan = plan_groups(rows, target_rows)
-        folded = fold_lossless(rows, plan, width_ns, writes).groupBy("group_no", "bucket_end")
+        folded = fold_shards(rows, plan, width_ns, writes, boundary == "drop").groupBy("group_no", "bucket_end")
         folded = folded.agg(F.min("start").alias("start"), merged(agg).alias("value"), F.sum("len").alias("len")).withColumnRenamed("bucket_end", "end")
         return join_dimension(folded, names, "group_no", F.col("end")).select("group", "start", "end", "value", "len")
     points = last_writes(points) if writes else points.where("value IS NOT NULL")
-    if lossless:
+    if single:
         return points.groupBy("group").agg(*result)
     points = staged(points)
     names = dimension(points.select("group").distinct().select("group", F.monotonically_increasing_id().alias("group_no")))
     numbered = join_dimension(points, names, "group", F.col("ts_ns")).select("group_no", "series_id", "ts_ns", "value")
-    folded = assign_streamed(numbered, width_ns, boundary == "drop", order == "series").groupBy("group_no", "bucket_end").agg(*result)
+    folded = assign_streamed(numbered, width_ns, boundary == "drop").groupBy("group_no", "bucket_end").agg(*result)
     return join_dimension(folded, names, "group_no", F.col("end")).select("group", "start", "end", "value", "len")
 
 

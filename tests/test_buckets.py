@@ -114,6 +114,19 @@ def historical(rows, width, drop, by_series):
     return sorted(found + ([tuple(open_)] if open_ else []))
 
 
+@pytest.mark.parametrize("round_entries", [1, 100_000])
+def test_losses_across_shards_equal_the_fold(spark, monkeypatch, round_entries):
+    """Ties, limits and lost points at the borders of many small shards."""
+    monkeypatch.setattr(buckets, "ROUND_ENTRIES", round_entries)
+    rng = np.random.default_rng(15)
+    rows = {g: [(int(s), int(t), float(rng.integers(0, 9))) for s, t in zip(rng.integers(0, 4, n), rng.integers(0, span, n))] for g, n, span in (("x", 400, 900), ("y", 300, 10**6), ("z", 3, 5))}
+    df = spark.createDataFrame([(g, *r) for g, own in rows.items() for r in own], "group STRING, series_id BIGINT, ts_ns BIGINT, value DOUBLE")
+    for width in (0, 11, 300, 40_000):
+        got = buckets.bucketed(df, "sum", width, boundary="drop", target_rows=30).collect()
+        for g, own in rows.items():
+            assert sorted((r["end"], r["start"], r["value"], r["len"]) for r in got if r["group"] == g) == historical(own, width, True, False), (width, g)
+
+
 @pytest.mark.parametrize("drop", [False, True])
 @pytest.mark.parametrize("by_series", [False, True])
 def test_historical_modes_equal_the_fold(spark, drop, by_series):
