@@ -93,11 +93,11 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("key_name", "key_value")
 
 
-_READINGS = """
+#: The readings of the series of one kind, as common table expressions.
+READINGS_SQL = """
 kinds AS (SELECT s.series_id, m.* FROM series s JOIN metric_info m ON s.metric = m.metric),
 newest AS (
-  SELECT series_id, ts_ns, arg_max(value, ingest_seq) AS value,
-         max(ingest_seq) AS seq
+  SELECT series_id, ts_ns, arg_max(value, ingest_seq) AS value
   FROM (SELECT p.series_id, p.ts_ns, p.ingest_seq, coalesce(p.value, 'nan'::DOUBLE) AS value FROM points p JOIN kinds k USING (series_id) WHERE k.kind = '{kind}')
   GROUP BY series_id, ts_ns
 ),
@@ -106,7 +106,7 @@ readings AS (SELECT series_id, ts_ns, value FROM newest WHERE NOT isnan(value))
 
 _ROLLED = (
     "WITH "
-    + _READINGS.format(kind="count")
+    + READINGS_SQL.format(kind="count")
     + """,
 daily AS (SELECT series_id, ts_ns // 86400000000000 AS day_no, sum(value) AS total, count(*) AS n FROM readings GROUP BY 1, 2),
 days AS (SELECT series_id, unnest(range(min(day_no), max(day_no) + 1)) AS day_no, min(day_no) AS first FROM daily GROUP BY series_id),
@@ -132,7 +132,7 @@ SELECT series_id, day_no, total_7, n_7, total_7 / 7 AS per_day_7, total_30, n_30
 # the operator's parameters: 8 readings and 64 steps on either side, fences 4.2, sketch buckets of 2 %, hours from 200 readings
 _IMPLAUSIBLE = (
     "WITH "
-    + _READINGS.format(kind="gauge")
+    + READINGS_SQL.format(kind="gauge")
     + """,
 r AS (
   SELECT r.series_id, r.ts_ns, r.value, k.lo, k.hi, 64 * k.step_ns AS reach, (r.ts_ns // 3600000000000) % 24 AS hour,
@@ -200,7 +200,7 @@ flags AS (SELECT series_id, ts_ns, value, min(reason) AS reason FROM (SELECT * F
 # weighted sums over the readings of the cells around each cell, which lie within 2.5 steps of its middle
 _GRID = (
     "WITH "
-    + _READINGS.format(kind="gauge")
+    + READINGS_SQL.format(kind="gauge")
     + """,
 placed AS (SELECT r.series_id, k.step_ns, r.ts_ns // k.step_ns AS cell, (r.ts_ns % k.step_ns) / k.step_ns::DOUBLE AS part, r.value FROM readings r JOIN kinds k USING (series_id)),
 cells AS (SELECT series_id, step_ns, unnest(range(min(cell), max(cell) + 1)) AS cell FROM placed GROUP BY series_id, step_ns),
@@ -240,7 +240,7 @@ SQL = {
     "p4_found": _IMPLAUSIBLE + "SELECT series_id, ts_ns FROM flags",
     "p5_grid": _GRID,
     "p5_found": "WITH "
-    + _READINGS.format(kind="gauge")
+    + READINGS_SQL.format(kind="gauge")
     + """,
 cells AS (SELECT DISTINCT r.series_id, k.step_ns, r.ts_ns // k.step_ns AS cell FROM readings r JOIN kinds k USING (series_id)),
 grid AS (SELECT series_id, step_ns, unnest(range(min(cell), max(cell) + 1)) AS cell FROM cells GROUP BY series_id, step_ns)
