@@ -9,6 +9,7 @@ from chronoloom.llm import contamination, mixing, percentiles, residue, runs
 from chronoloom.operators import shards
 from chronoloom.operators.staging import dimension, staged
 from chronoloom.sources.tables import table
+from chronoloom.timeseries_queries import READINGS_SQL
 
 
 def _tag_groups(spark: SparkSession, folder: str, kind: str | None) -> DataFrame:
@@ -114,17 +115,7 @@ def p9_clean(spark: SparkSession, folder: str) -> DataFrame:
     return residue.without_residue(table(spark, folder, "documents")).select("doc_id", "source", "lang")
 
 
-_READINGS = """
-kinds AS (SELECT s.series_id, m.* FROM series s JOIN metric_info m ON s.metric = m.metric),
-newest AS (
-  SELECT series_id, ts_ns, arg_max(value, ingest_seq) AS value
-  FROM (SELECT p.series_id, p.ts_ns, p.ingest_seq, coalesce(p.value, 'nan'::DOUBLE) AS value FROM points p JOIN kinds k USING (series_id) WHERE k.kind = '{kind}')
-  GROUP BY series_id, ts_ns
-),
-readings AS (SELECT series_id, ts_ns, value FROM newest WHERE NOT isnan(value))
-"""
-
-_ANY_KIND = _READINGS.replace("WHERE k.kind = '{kind}'", "")
+_ANY_KIND = READINGS_SQL.replace("WHERE k.kind = '{kind}'", "")
 
 _GROUPED = """,
 pairs AS (SELECT DISTINCT metric_name, group_by FROM query_specs),
@@ -134,7 +125,7 @@ members AS (
 ),
 grouped AS (SELECT m.metric_name, m.group_by, m.group_value, r.value FROM readings r JOIN members m USING (series_id))
 """
-_SAMPLES = "WITH " + _READINGS.format(kind="sample") + _GROUPED
+_SAMPLES = "WITH " + READINGS_SQL.format(kind="sample") + _GROUPED
 _PERCENTILES = """
 SELECT metric_name, group_by, group_value, percentile, sorted[greatest(1, ceil(percentile * n))::BIGINT] AS value, n
 FROM (SELECT metric_name, group_by, group_value, list_sort(list(value)) AS sorted, count(*) AS n FROM grouped GROUP BY ALL),
@@ -143,7 +134,7 @@ FROM (SELECT metric_name, group_by, group_value, list_sort(list(value)) AS sorte
 
 _RUNS = (
     "WITH "
-    + _READINGS.format(kind="state")
+    + READINGS_SQL.format(kind="state")
     + """,
 stepped AS (
   SELECT r.series_id, r.ts_ns, r.value, CASE WHEN lag(r.value) OVER w = r.value OR abs(r.value - lag(r.value) OVER w) <= k.tolerance THEN 0 ELSE 1 END AS fresh
@@ -155,7 +146,7 @@ numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY series_id ORDER BY ts_ns) A
 
 # row by row: a is the value of the open run's first reading
 _ANCHORED = f"""
-WITH RECURSIVE {_READINGS.format(kind="state")},
+WITH RECURSIVE {READINGS_SQL.format(kind="state")},
 p AS MATERIALIZED (SELECT r.series_id, r.ts_ns, r.value, k.tolerance, row_number() OVER (PARTITION BY r.series_id ORDER BY r.ts_ns) AS i FROM readings r JOIN kinds k USING (series_id)),
 fold AS (
   SELECT series_id, i, ts_ns, value AS a, ts_ns AS start_ns FROM p WHERE i = 1
