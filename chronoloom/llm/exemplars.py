@@ -12,16 +12,19 @@ from __future__ import annotations
 
 import re
 
-#: The common filler passage, and words typed to fill a space.
+#: The two common filler passages, and words typed to fill a space.
 FILLER_TEXT = (
     "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua ut enim ad minim veniam quis nostrud exercitation "
     "ullamco laboris nisi ut aliquip ex ea commodo consequat duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur excepteur sint "
-    "occaecat cupidatat non proident sunt in culpa qui officia deserunt mollit anim id est laborum"
+    "occaecat cupidatat non proident sunt in culpa qui officia deserunt mollit anim id est laborum "
+    "sed ut perspiciatis unde omnis iste natus error sit voluptatem accusantium doloremque laudantium totam rem aperiam eaque ipsa quae ab illo inventore veritatis et quasi architecto "
+    "beatae vitae dicta sunt explicabo nemo enim ipsam voluptatem quia voluptas sit aspernatur aut odit aut fugit sed quia consequuntur magni dolores eos qui ratione voluptatem sequi nesciunt"
 )
 TYPED_FILLER = "lipsum asdf asdfgh qwer qwerty foobar xxx xxxx xxxxx tbd tba todo".split()
 
-#: Short words of the passage are also words of living languages.
-FILLER_WORDS = frozenset([w for w in FILLER_TEXT.split() if len(w) > 4 or w in ("amet", "elit")] + TYPED_FILLER)
+#: Short words of the passages, and these, are also words of living languages.
+LIVING_WORDS = frozenset("error culpa dicta dolores magna quasi omnis ratione".split())
+FILLER_WORDS = frozenset([w for w in FILLER_TEXT.split() if (len(w) > 4 or w in ("amet", "elit")) and w not in LIVING_WORDS] + TYPED_FILLER)
 
 #: Words for scripts in a browser, and for what a browser opens.
 SCRIPT_WORDS = frozenset("javascript js script scripts scripting skript skripte skripten javascriptin javascriptiä скрипт скрипти скриптів".split())
@@ -64,6 +67,8 @@ this is (a|some|) (placeholder|sample|dummy|example) (text|paragraph|page|)
 (text|paragraph|image|content) for (layout|demonstration|display) (only|purposes only)
 (replace|change|remove) (this|me|it|with your own text) before (publishing|going live|launch)
 (todo|fixme) : (write|add|fill in|replace) (this|)
+(todo|fixme) : (description|title|text|content|summary)
+(insert|add|enter|write) (caption|title|text|description|image|date|name)
 (todo|fixme) (write|add|fill in|replace) (copy|text|content) (for|)
 to be (added|announced|determined|written|completed)
 (title|details|text|description) to (follow|come)
@@ -89,6 +94,14 @@ nothing (was|) (found|here|matches your search|matched your search)
 (no|zero) (results|hits|matches|entries|items) (found|for <any>|for <path>|for your search)
 (nothing|no match|<n> results|<n> hits) (found|) for <path>
 your search (did not match any documents|returned no results)
+sorry , this (content|<doc>|video|item) isn t available (right now|anymore)
+(this|the) (video|content|item|article|post|product|listing|account|profile) is (unavailable|not available|no longer available)
+this (account|profile|post|video|listing|item) has been (suspended|deleted|removed|disabled)
+there isn t a (<doc>|github pages <doc>) here
+the specified (key|bucket|item|<doc>) does not exist
+the origin server did not find a current representation for the target resource
+(matching query|no matching record) does not exist
+(record|object|entity|user|post|entry) not found
 it looks like nothing was found (here|at this location)
 no (posts|products|pages|comments|articles) (found|to show|to display|matched your search)
 (go|return|go back|back) to the (home|start|front|previous) page
@@ -155,6 +168,23 @@ traceback ( most recent call last ) : (file <path> , line <n> , in <any>|)
 (lost|no) connection to the (database|server) (on line <n> of <path>|at line <n> of <path>|)
 error establishing a database connection
 segmentation fault
+server error in <any> <doc>
+server error in <path> <doc>
+(runtime|application|system|unexpected|fatal|database|syntax) error
+(class|function|method) <any> not found in <path>
+cannot modify header information - headers already sent
+(table|view|table or view|column|database|relation) does not exist
+(can t|cannot) connect to (local|) mysql server
+java lang (nullpointerexception|illegalargumentexception|outofmemoryerror|classnotfoundexception)
+you are being redirected
+if you are not redirected automatically , (click here|follow this <doc>|click the <doc>)
+our systems have detected unusual traffic from your (computer|) network
+(please|) complete the (captcha|recaptcha|challenge|security check) (to proceed|to continue|)
+attention required
+your browser is (out of date|outdated|not supported|no longer supported)
+(please|) (update|upgrade) your browser
+your browser does not support (frames|iframes|cookies|the video tag|html5 video|them)
+this <doc> requires (frames|cookies|a newer browser)
 (status|code) = <n> (error|message) = <any>
 (request|trace) _ id = <id>
 request_id = <id>
@@ -175,6 +205,10 @@ complete the (captcha|security check) to (continue|access <any>)
     "scripts": """
 (please|kindly|) (enable|activate|allow|turn on|switch on|unblock) <script>
 (please|) (turn|switch) <script> on
+to (use|view|see|access) <any> , please (enable|turn on|activate) <script>
+to (use|view|see) <any> <any> , please (enable|turn on|activate) <script>
+this <doc> uses <script>
+(activate|enable) it to (see|view|use) (all|the|this) (content|<doc>)
 (please|kindly|) (enable|activate|allow|turn on|switch on) <script> (in your browser|to continue|and reload|to use this <doc>|to view this <doc>)
 (you need to|you have to|you must|to continue ,|to go on ,) (enable|activate|allow|accept|turn on|switch on) <script>
 you (need to|have to|must) (enable|allow|accept) <script> and cookies (before you can|to) (continue|enter|go on|read|view)
@@ -218,6 +252,7 @@ diese <doc> (braucht|benötigt|erfordert|funktioniert nur mit) (aktive|aktiviert
 bitte (aktivieren|erlauben|schalten) sie <script>
 bitte (aktivieren|erlauben) sie <script> (in ihrem browser|, um <any> zu (sehen|öffnen|nutzen))
 bitte (schalten|stellen) sie <script> (ein|an) (|, um <any> zu (sehen|öffnen|nutzen))
+sie (müssen|sollten) <script> aktivieren
 <script> ist (deaktiviert|ausgeschaltet|blockiert|nicht aktiviert)
 (wartungsarbeiten|wegen wartung geschlossen)
 diese <doc> befindet sich im aufbau
@@ -243,6 +278,7 @@ le (service|serveur) est indisponible pour le moment
 (ce site|cette page|cette application|ce <doc>) a besoin de <script> (actifs|) (dans votre navigateur|)
 veuillez (activer|autoriser) (les|) <script>
 veuillez (activer|autoriser) (les|) <script> pour (afficher|ouvrir|voir|continuer) <any>
+(vous devez|il faut) activer <script>
 <script> est désactivé
 (site|page) en (construction|maintenance)
 (votre texte ici|insérez votre texte ici|texte d exemple)
@@ -267,6 +303,7 @@ algo (ha fallado|falló)
 (active|habilite|permita|activa) (los|) <script>
 (active|habilite|permita) (los|) <script> para (ver|abrir|continuar) <any>
 (este sitio|esta página|este <doc>|esta <doc>) necesita <script> (activos|) en su navegador
+(necesita|debe|tiene que) (activar|habilitar) <script> (para (ver|usar|continuar)|)
 <script> está (desactivado|deshabilitado)
 (código|referencia) <id>
 (página|sitio|<doc>) en (construcción|mantenimiento)

@@ -51,7 +51,7 @@ FILLER_REACH, FILLER_SEEDS = 8, 2
 #: Documents such a word must at least be found so in, also as a share of all documents with filler, and the share of the word's documents that these must be.
 FILLER_DOCUMENTS, FILLER_SHARE, FILLER_PURITY = 2, 0.01, 0.8
 
-_BRACED = r"\{\{[^{}]*\}\}|\{%[^{}]*%\}|\$\{[^{}]*\}|%\([a-z_ ]{1,40}\)s|##[a-z_ ]{1,40}##|@@[a-z_ ]{1,40}@@|<%[^<>]*%>|<insert [^<>]+>"
+_BRACED = r"\{\{[^{}]*\}\}|\{\$[^{}]*\}|\{%[^{}]*%\}|\$\{[^{}]*\}|%\([a-z_ ]{1,40}\)s|##[a-z_ ]{1,40}##|@@[a-z_ ]{1,40}@@|<%[^<>]*%>|<insert [^<>]+>"
 #: Brackets that ordinary text has too: placeholders if what they hold is the name of a field.
 _NAMED = r"\[\[([^\[\]]{1,60})\]\]|\[([a-z_ ]{1,60})\]|%([a-z_]{2,40})%|__([a-z][a-z_ ]{0,40}?)__|<([a-z_ ]{1,40})>"
 _SLOT = re.compile(rf"(?:{_BRACED}|{_NAMED}|(\{{[0-9]{{1,2}}\}}))", re.IGNORECASE)
