@@ -9,7 +9,7 @@ shuffle on (group, shard) serves the last write of each series and time, the ord
 only partial aggregates leave a shard. The orbit enters a shard at a limit handed on by a newer one: each shard
 of a group that has several states at which limit the orbit leaves it for every time at which it could enter.
 Where these tables are small beside the rows (buckets much narrower than shards) one pass follows them shard by
-shard. Where they are not (a bucket covers many shards) there are few buckets: then the limits are found in
+shard, in a large group after the tables of long stretches have been merged in parallel. Where they are not (a bucket covers many shards) there are few buckets: then the limits are found in
 rounds, each of which looks up one shard per group, and the shards in between, which lie in one bucket, are
 not looked at. Groups of one shard skip all that.
 
@@ -37,6 +37,8 @@ AGGREGATES = ("avg", "sum", "min", "max", "count")
 _KEYS = ("group_no", "shard")
 #: A round of looking up costs about as much as following so many entries of tables.
 ROUND_ENTRIES = 100_000
+#: Entries of a group's tables that one task follows; beyond, and so many bucket widths long, stretches are followed.
+STREAMED_ENTRIES, STRETCH_BUCKETS = 4_000_000, 64
 #: What stands for "no limit".
 _NO_LIMIT = -(1 << 63)
 
@@ -181,13 +183,14 @@ def _tables(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, int
 
 
 def _follow(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hand the limit on from shard to shard, newest first, group by group."""
-    group, limit = None, None
+    """Hand the limit on from shard to shard, newest first, stretch by stretch of each group, from its ``coming`` limit."""
+    stretch, limit = None, None
     for batch in batches:
         rows = []
-        for number, shard, first, table in zip(*(batch.column(c).to_pylist() for c in ("group_no", "shard", "oldest")), _tables(batch)):
-            if number != group:
-                group, limit = number, None
+        heads = zip(*(batch.column(c).to_pylist() for c in ("group_no", "stretch", "coming", "shard", "oldest")))
+        for (number, part, coming, shard, first), table in zip(heads, _tables(batch)):
+            if (number, part) != stretch:
+                stretch, limit = (number, part), coming
             rows.append((number, shard, limit))
             if limit is None or first < limit:
                 limit = _leave(*table, limit)
@@ -195,6 +198,43 @@ def _follow(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["group_no", "shard", "limit_ns"])
 
 
+def _through(batches: Iterable[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """One table for each stretch of shards: at which limit an orbit leaves its oldest shard.
+
+    The tables of the shards an orbit can enter, those within a bucket's width of the stretch's upper bound, are carried
+    through the older shards, all entries at once. Entries whose orbits have met are one from then on.
+    """
+    held: dict | None = None
+
+    def done() -> pa.RecordBatch:
+        entries, exits = np.concatenate(held["entries"][::-1]), np.concatenate(held["exits"][::-1])
+        keep = np.r_[True, exits[1:] != exits[:-1]]
+        row = [held["key"][0], held["key"][1], held["oldest"], int(keep.sum()), held["top"], entries[keep].tolist(), exits[keep].tolist()]
+        return pa.RecordBatch.from_arrays([pa.array([x]) for x in row], [x.split()[0] for x in _TABLES.split(", ")])
+
+    def carried(exits: np.ndarray, table: tuple[np.ndarray, np.ndarray, int], oldest: int) -> np.ndarray:
+        own, leave, top = table
+        found = leave[np.maximum(np.searchsorted(own, exits, "left") - 1, 0)]
+        return np.where(exits == _NO_LIMIT, top, np.where(exits > oldest, found, exits))
+
+    for batch in batches:
+        for number, part, until, oldest, table in zip(*(batch.column(c).to_pylist() for c in ("group_no", "stretch", "until", "oldest")), _tables(batch)):
+            if held is None or held["key"] != (number, part):
+                if held is not None:
+                    yield done()
+                held = {"key": (number, part), "entries": [table[0]], "exits": [table[1]], "top": table[2], "oldest": oldest, "open": oldest >= until - width}
+                continue
+            held["exits"] = [carried(x, table, oldest) for x in held["exits"]]
+            held["top"] = int(carried(np.array([held["top"]]), table, oldest)[0])
+            held["oldest"] = oldest
+            if held["open"]:
+                held["entries"].append(table[0])
+                held["exits"].append(table[1])
+                held["open"] = oldest >= until - width
+    if held is not None:
+        yield done()
+
+
 def _look_up(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The limits at which the orbits that come in at ``limit_ns`` leave the one shard given per group."""
     for batch in batches:
@@ -210,7 +250,7 @@ def _limits(tables: DataFrame, width_ns: int) -> DataFrame:
     dense = dimension(groups.where(F.col("n") > rounds * ROUND_ENTRIES).select("group_no"))
     none = F.lit(None).cast("long")
     if not dense.limit(1).count():
-        return _followed(tables)
+        return _followed(tables, width_ns)
     plain = join_dimension(tables, dense.withColumn("dense", F.lit(True)), "group_no", F.col("shard"), "left").where("dense IS NULL").drop("dense")
     state = dense.withColumns({"shard": F.lit((1 << 63) - 1), "limit_ns": none})
     visits: list[DataFrame] = []
@@ -228,11 +268,38 @@ def _limits(tables: DataFrame, width_ns: int) -> DataFrame:
     down = W.partitionBy("group_no").orderBy(F.desc("shard")).rowsBetween(W.unboundedPreceding, -1)
     passed = join_dimension(heads.withColumnRenamed("next", "shard"), dense, "group_no", F.col("shard")).join(known, ["group_no", "shard"], "left")
     through = passed.select("group_no", "shard", F.last("left", ignorenulls=True).over(down).getField("limit_ns").alias("limit_ns"))
-    return through.unionByName(_followed(plain))
+    return through.unionByName(_followed(plain, width_ns))
 
 
-def _followed(tables: DataFrame) -> DataFrame:
-    ordered = tables.repartition("group_no").sortWithinPartitions("group_no", F.desc("shard"))
+def _followed(tables: DataFrame, width_ns: int) -> DataFrame:
+    """The limits of all shards; large groups are followed in stretches of ``STRETCH_BUCKETS`` bucket widths.
+
+    The tables of a stretch become one, at all stretches at once. These are followed group by group, and then the shards of
+    every stretch from its own coming limit.
+    """
+    none = F.lit(None).cast("long")
+    large = dimension(tables.groupBy("group_no").agg(F.sum("n_entries").alias("n")).where(F.col("n") > STREAMED_ENTRIES).select("group_no"))
+    if not large.limit(1).count():
+        return _in_stretches(tables.withColumns({"stretch": F.lit(0).cast("long"), "coming": none}))
+    marked = join_dimension(tables, large.withColumn("large", F.lit(True)), "group_no", F.col("shard"), "left")
+    small = marked.where("large IS NULL").withColumns({"stretch": F.lit(0).cast("long"), "coming": none})
+    span = F.lit(min(STRETCH_BUCKETS * max(width_ns, 1), 1 << 62)).cast("long")
+    cut = marked.where("large").withColumn("stretch", F.expr("shard") - F.pmod("shard", span))
+    # a shard belongs to the stretch in which it begins and may reach beyond it
+    above = F.lag("shard").over(W.partitionBy("group_no").orderBy(F.desc("shard")))
+    bounds = cut.select("group_no", "shard", "stretch", above.alias("above")).groupBy("group_no", "stretch").agg(F.max_by("above", "shard").alias("above"))
+    until = F.coalesce("above", F.lit((1 << 63) - 1))
+    bounded = join_dimension(cut, dimension(bounds.select("group_no", "stretch", until.alias("until"))), ["group_no", "stretch"], F.col("shard"))
+    ordered = bounded.repartition("group_no", "stretch").sortWithinPartitions("group_no", "stretch", F.desc("shard"))
+    merged_tables = staged(ordered.mapInArrow(lambda batches: _through(batches, width_ns), _TABLES))
+    coming = staged(_in_stretches(merged_tables.withColumns({"stretch": F.lit(0).cast("long"), "coming": none})))
+    coming = coming.select("group_no", F.col("shard").alias("stretch"), F.col("limit_ns").alias("coming"))
+    known = join_dimension(cut, coming, ["group_no", "stretch"], F.col("shard"))
+    return _in_stretches(small.select(*tables.columns, "stretch", "coming").unionByName(known.select(*tables.columns, "stretch", "coming")))
+
+
+def _in_stretches(tables: DataFrame) -> DataFrame:
+    ordered = tables.repartition("group_no", "stretch").sortWithinPartitions("group_no", "stretch", F.desc("shard"))
     return ordered.mapInArrow(_follow, "group_no bigint, shard bigint, limit_ns bigint")
 
 

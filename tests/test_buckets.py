@@ -30,8 +30,10 @@ def test_ends_equal_the_fold(times, width):
         assert limit == at - width
 
 
-@pytest.mark.parametrize("local_bytes, round_entries", [(512 << 20, 100_000), (-1, 100_000), (512 << 20, 1), (-1, 1)])
-def test_many_shards_per_group(spark, monkeypatch, local_bytes, round_entries):
+@pytest.mark.parametrize("local_bytes, round_entries, streamed", [(512 << 20, 100_000, 10**6), (512 << 20, 100_000, 0), (-1, 100_000, 10), (512 << 20, 1, 10**6), (-1, 1, 0)])
+def test_many_shards_per_group(spark, monkeypatch, local_bytes, round_entries, streamed):
+    monkeypatch.setattr(buckets, "STREAMED_ENTRIES", streamed)
+    monkeypatch.setattr(buckets, "STRETCH_BUCKETS", 3)
     monkeypatch.setattr(staging, "LOCAL_INPUT_BYTES", local_bytes)
     monkeypatch.setattr(buckets, "ROUND_ENTRIES", round_entries)
     rng = np.random.default_rng(3)
@@ -114,8 +116,10 @@ def historical(rows, width, drop, by_series):
     return sorted(found + ([tuple(open_)] if open_ else []))
 
 
-@pytest.mark.parametrize("round_entries", [1, 100_000])
-def test_losses_across_shards_equal_the_fold(spark, monkeypatch, round_entries):
+@pytest.mark.parametrize("round_entries, streamed", [(1, 10**6), (100_000, 10**6), (100_000, 0)])
+def test_losses_across_shards_equal_the_fold(spark, monkeypatch, round_entries, streamed):
+    monkeypatch.setattr(buckets, "STREAMED_ENTRIES", streamed)
+    monkeypatch.setattr(buckets, "STRETCH_BUCKETS", 2)
     """Ties, limits and lost points at the borders of many small shards."""
     monkeypatch.setattr(buckets, "ROUND_ENTRIES", round_entries)
     rng = np.random.default_rng(15)
